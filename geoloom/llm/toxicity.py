@@ -90,7 +90,7 @@ class Restorer:
             if c.isalpha():
                 readings = [(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, 1.0)] if n == 2 else [(c, 0.5), (c * 2, 1.0)]
             else:
-                readings = [("", 2.5 if n == 1 and c in LOOK_ALIKES else 0.3)]
+                readings = [("", 4.0 if n == 1 and c in LOOK_ALIKES else 0.3)]
                 for letter in LOOK_ALIKES.get(c, ""):
                     readings += [(letter, 0.5)] if n == 1 else [(letter * 2, 0.7), (letter, 1.0)]
             after: dict = {}
@@ -145,35 +145,54 @@ def _train_rows(costs):
     return run
 
 
-def boost(rows: list[tuple[int, list[int]]], rounds: int = 80, support: int = 4) -> tuple[float, dict[int, float]]:
-    """Confidence-rated boosting (Schapire and Singer, 1999) of rules that vote for label 1 where a feature is present."""
+def boost(rows: list[tuple[int, list[int]]], rounds: int = 60, support: int = 8) -> tuple[float, dict[int, float]]:
+    """Boosting (Schapire and Singer, 1999; logistic weights) of rules that vote for label 1 where a feature is present.
+
+    Labels are noisy: a rule needs `support` rows of label 1, and odds of e**2 over those of all rows.
+    """
+    rows = list({(t, tuple(f)): None for t, f in rows})  # exact copies teach once
     y = np.array([1.0 if t else -1.0 for t, _ in rows])
     if len(set(y)) < 2:
         return -20.0, {}
     owner = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
     names, column = np.unique(np.concatenate([np.array(f, np.int64) for _, f in rows]), return_inverse=True)
-    frequent = np.bincount(column, weights=(y[owner] > 0), minlength=len(names)) >= support
-    keep = frequent[column]
-    owner, column = owner[keep], column[keep]
-    bias = 0.5 * np.log(max((y > 0).mean(), 1e-6) / (y < 0).mean())
-    total, rules, slack = np.full(len(y), bias), {}, 1.0 / len(y)
-    for _ in range(rounds):
-        w = np.exp(-y * total)
+    positive = np.bincount(column, weights=y[owner] > 0, minlength=len(names))
+    other = np.bincount(column, minlength=len(names)) - positive
+    base = (y > 0).sum() / (y < 0).sum()
+    able = (positive >= support) & ((positive + 0.5) / (other + 0.5) >= np.exp(2) * base)
+    keep = able[column]
+    owner, (names, column) = owner[keep], (names[able], (np.cumsum(able) - 1)[column[keep]])
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    first = np.searchsorted(column, np.arange(len(names) + 1))
+    bias = 0.5 * np.log(base)
+    total, rules, slack = np.full(len(y), bias), {}, 2.0 / len(y)
+    for _ in range(rounds if len(names) else 0):
+        w = 1 / (1 + np.exp(2 * y * total))
         w /= w.sum()
         up = np.bincount(column, weights=np.where(y > 0, w, 0)[owner], minlength=len(names))
         down = np.bincount(column, weights=np.where(y < 0, w, 0)[owner], minlength=len(names))
         gain = np.where(up > down, np.sqrt(up) - np.sqrt(down), 0)
         best = int(gain.argmax())
-        if gain[best] <= 0.02:
+        if gain[best] <= 0.1:
             break
         vote = 0.5 * np.log((up[best] + slack) / (down[best] + slack))
         rules[int(names[best])] = rules.get(int(names[best]), 0.0) + vote
-        total[owner[column == best]] += vote
-        w = np.exp(-y * total)
-        shift = 0.5 * np.log((w[y > 0].sum() + slack) / (w[y < 0].sum() + slack))
-        bias += min(shift, 0.0)
-        total += min(shift, 0.0)
-    return float(bias), rules
+        total[owner[first[best] : first[best + 1]]] += vote
+        w = 1 / (1 + np.exp(2 * y * total))
+        shift = min(0.0, 0.25 * np.log((w[y > 0].sum() + slack) / (w[y < 0].sum() + slack)))
+        bias, total = bias + shift, total + shift
+    # Votes are fit together, since the rules of one word's stems share its evidence.
+    chosen = np.array([np.searchsorted(names, r) for r in rules], np.int64)
+    x = np.ones((len(y), len(chosen) + 1))
+    x[:, 1:] = 0
+    for k, c in enumerate(chosen):
+        x[owner[first[c] : first[c + 1]], k + 1] = 1
+    votes, ridge = np.zeros(x.shape[1]), np.diag([1e-6, *[0.1] * len(chosen)])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-x @ votes))
+        votes += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ ((y > 0) - p) - ridge @ votes)
+    return float(votes[0]) / 2, {r: float(v) / 2 for r, v in zip(rules, votes[1:], strict=True)}
 
 
 def _score(costs, bias, rules, memo: int = 800_000):
