@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, hilbert_pack, html_text, language_id, orc_tokens, pii, sharding, topk, toxicity
+from . import decontamination, hilbert_pack, html_text, language_id, orc_tokens, parity_join, pii, sharding, topk, toxicity
 
 _TOP_K = """
 WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op1_hilbert_packing": hilbert_pack.op1,
         "op2_orc_token_ids": orc_tokens.op2,
         "op3_noisy_channel_toxicity": toxicity.op3,
+        "op4_parity_sketch_join": parity_join.op4,
         "op5_external_shuffle": sharding.op5,
         "op6_cross_parsing_language": language_id.op6,
         "op7_benchmark_leaks": decontamination.op7,
