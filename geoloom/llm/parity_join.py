@@ -7,7 +7,7 @@ elements, so with more blocks than that some block agrees (pigeonhole). k is tak
 set joins with the k of every m that its partners may have. Blocks without elements agree for no reason: k leaves
 slack for them, and only sets with more empty blocks than the slack are also joined on these.
 
-1. Sets that are equal form a class; its smallest doc_id stands for it.
+1. Sets that are equal form a class; its smallest doc_id stands for it, and only its text gets join keys.
 2. Representatives that share a parity word are linked to the smallest of them (a star), not to each other.
 3. Star pairs whose sizes and 1024-bit parity sketches allow J >= t are verified on the texts; links make components.
 4. Within a star whose members lie in several components, pairs across components are compared by sketches in tiles
@@ -127,7 +127,9 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
-def _sets(words: int, bands: Bands | None):
+def _sets(words: int):
+    """(doc_id, size, two hashes of the set, sketch) of every document."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -135,22 +137,34 @@ def _sets(words: int, bands: Bands | None):
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for first, last, texts in text_slices(batch):
                 found = [shingles(t, words) for t in texts]
-                n = [len(h) for h in found]
                 a = [int(np.bitwise_xor.reduce(h)) if len(h) else 0 for h in found]
                 b = [int(_mix(h + _M[6]).sum(dtype=np.uint64)) if len(h) else 0 for h in found]
-                columns = [ids.slice(first, last - first), pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b))]
-                names = ["doc_id", "n", "a", "b"]
-                if bands:
-                    for name, make in (("keys", lambda h: parity_keys(h, bands).view(np.int64)), ("sketch", sketch)):
-                        lists = [make(h) for h in found]
-                        ends = np.cumsum([0, *map(len, lists)])
-                        columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists), pa.int64())))
-                        names.append(name)
-                yield pa.RecordBatch.from_arrays(columns, names)
+                hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
+                sketches = _lists([sketch(h) for h in found])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array([len(h) for h in found], pa.int64()), *hashes, sketches], ["doc_id", "n", "a", "b", "sketch"])
 
     return run
 
 
+def _keys(words: int, bands: Bands):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            for first, last, texts in text_slices(batch):
+                keys = [parity_keys(shingles(t, words), bands).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), _lists(keys)], ["rep", "keys"])
+
+    return run
+
+
+def _lists(rows: list[np.ndarray]):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows), pa.int64()))
+
+
 def _verify(words: int, num: int, den: int):
     def run(key, left, right):
         import pandas as pd
@@ -169,13 +183,12 @@ def _verify(words: int, num: int, den: int):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int, chunk: int = 128, broadcast_rows: int = 1_000_000) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int, chunk: int = 128) -> DataFrame:
     """The pairs (u, v) of doc_ids whose texts link. Of each u, `chunk` partners or so are compared in one task."""
     counts = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("many"))
     dealt = materialise(pairs.join(counts, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("many") / chunk)).alias("c")), "pairs")
     ids = materialise(dealt.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
-    small = ids.count() <= broadcast_rows  # else a shuffled join
-    held = docs.join(F.broadcast(ids) if small else ids, "doc_id")
+    held = _keep_matching(docs, ids, "left_semi")
     hubs = dealt.select(F.col("u").alias("hub"), F.col("c").alias("part")).distinct()
     left = hubs.join(held.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text")), "hub").select("hub", "part", "hub_text")
     right = dealt.join(held.select(F.col("doc_id").alias("v"), F.col("text").alias("text")), "v").select("u", "c", "v", "text")
@@ -201,30 +214,37 @@ def _crossing(most_num: int, most_den: int, num: int, den: int, nearest: bool):
             small, large = np.minimum(n[0][r], n[1]), np.maximum(n[0][r], n[1])
             ok = (comp[0][r] != comp[1]) & (apart * most_den <= (small + large) * most_num) & (den * small >= num * large)
             at = np.flatnonzero(ok)
+            left_over = 0
             if nearest and len(at):
                 order = np.lexsort((ids[1][at], apart[at], comp[1][at]))
-                at = at[order]
-                at = at[np.r_[True, comp[1][at][1:] != comp[1][at][:-1]]]
-            found += [(min(ids[0][r], y), max(ids[0][r], y)) for y in ids[1][at]]
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+                best = at[order]
+                best = best[np.r_[True, comp[1][best][1:] != comp[1][best][:-1]]]
+                left_over, at = int(len(best) < len(at)), best
+            found += [(min(ids[0][r], y), max(ids[0][r], y), key[0], left_over) for y in ids[1][at]]
+        return pd.DataFrame(found, columns=["u", "v", "hub", "left_over"], dtype="int64")
 
     return run
 
 
-def _links(docs: DataFrame, words: int, num: int, den: int, tile: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """(n, a, b, rep) of each class, and links (u, v) that make the components of representatives."""
+def _keep_matching(rows: DataFrame, ids: DataFrame, how: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Semi- or anti-join with ids, which are sent to all executors only if they are few; else both are shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", how)
+
+
+def _links(docs: DataFrame, words: int, num: int, den: int, tile: int = 2048) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, a, b) of each row, (n, a, b, rep) of each class, and links that make the components of representatives."""
     bands = Bands(num, den)
     most_num, most_den = den - num, den + num  # |A xor B| <= (|A| + |B|) (1 - t) / (1 + t)
-    row = F.struct("doc_id", "keys", "sketch")
-    sets = docs.mapInArrow(_sets(words, bands), "doc_id long, n long, a long, b long, keys array<long>, sketch array<long>").where("n > 0")
-    classes = materialise(sets.groupBy("n", "a", "b").agg(F.min(row).alias("r")).select("n", "a", "b", F.col("r.doc_id").alias("rep"), "r.keys", "r.sketch"), "classes")
+    sets = materialise(docs.mapInArrow(_sets(words), "doc_id long, n long, a long, b long, sketch array<long>"), "sets")
+    least = F.min(F.struct("doc_id", "sketch"))
+    lite = materialise(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(least.alias("r")).select("n", "a", "b", F.col("r.doc_id").alias("rep"), "r.sketch"), "classes")
+    copies = materialise(sets.select("doc_id", "n", "a", "b").join(lite.select("n", "a", "b", "rep"), ["n", "a", "b"]).where("doc_id <> rep").select("doc_id").distinct(), "copies")
+    own = _keep_matching(docs.where("doc_id IS NOT NULL"), copies, "left_anti")
     shared = Window.partitionBy("key")
-    keyed = classes.where("rep IS NOT NULL").select("rep", F.explode("keys").alias("key"))
+    keyed = own.mapInArrow(_keys(words, bands), "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
     stars = materialise(
         keyed.select("rep", F.min("rep").over(shared).alias("hub")).where("rep <> hub").select("hub", F.col("rep").alias("x")).distinct(), "stars"
     )
-    lite = materialise(classes.select("n", "a", "b", "rep", "sketch"), "classes")
-    release(classes)
     sized = lite.select("rep", "n", "sketch")
     apart = F.aggregate(F.zip_with("hub_sketch", "sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
     small, large = F.least("hub_n", "n"), F.greatest("hub_n", "n")
@@ -234,31 +254,34 @@ def _links(docs: DataFrame, words: int, num: int, den: int, tile: int = 2048) ->
         .where((den * small >= num * large) & (apart * most_den <= (small + large) * most_num))
         .select(F.col("hub").alias("u"), F.col("x").alias("v"))
     )
-    links = verified(first, docs, words, num, den)
+    links, again = verified(first, docs, words, num, den), None
     for nearest in (True, False):
         found = connected_components(links)
-        members = stars.select("hub", "x").unionByName(stars.select("hub", F.col("hub").alias("x")).distinct())
+        groups = stars if again is None else stars.join(again, "hub", "left_semi")
+        members = groups.select("hub", "x").unionByName(groups.select("hub", F.col("hub").alias("x")).distinct())
         placed = members.join(found.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
         mixed = placed.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high")
         tiles = F.ceil(F.col("many") / tile).cast("int")
         rows = placed.join(mixed.select("hub", tiles.alias("tiles")), "hub").join(sized.withColumnRenamed("rep", "x"), "x")
         rows = rows.withColumn("tile", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         rows = rows.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
-        crossing = rows.groupBy("hub", "i", "j").applyInPandas(_crossing(most_num, most_den, num, den, nearest), "u long, v long").distinct()
-        more = materialise(crossing, "crossing")
+        crossing = rows.groupBy("hub", "i", "j").applyInPandas(_crossing(most_num, most_den, num, den, nearest), "u long, v long, hub long, left_over long")
+        more = materialise(crossing.distinct(), "crossing")
         if more.isEmpty():
             break
-        links = materialise(links.unionByName(verified(more, docs, words, num, den)), "links")
-    return lite, links
+        links = materialise(links.unionByName(verified(more.select("u", "v").distinct(), docs, words, num, den)), "links")
+        again = more.where("left_over = 1").select("hub").distinct()  # stars of which not all pairs were tried
+        if again.isEmpty():
+            break
+    return sets.select("doc_id", "n", "a", "b"), lite, links
 
 
 def link_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; documents link when J >= num / den."""
     docs = docs.select("doc_id", "text")
-    classes, links = _links(docs, words, num, den)
+    sets, classes, links = _links(docs, words, num, den)
     found = connected_components(links)
     named = classes.select("n", "a", "b", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component_id"))
-    sets = docs.mapInArrow(_sets(words, None), "doc_id long, n long, a long, b long")
     joined = sets.join(named, ["n", "a", "b"], "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
