@@ -2,10 +2,238 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .functions import expressions as E
+from .operators import focal, grid, morphology, mosaic, vector, zonal
+from .plans import pipelines
+from .sources import listing, rasters
+
+SIZE = 256
+
+
+def _zoned(spark, d):
+    return zonal.zone_pixels(rasters.zones(spark, d), rasters.change_raster(spark, d), SIZE, SIZE)
+
+
+def listing_paths(spark, d):
+    lines = rasters.read(spark, d, "pages").select(F.concat(F.lit("  "), F.col("page_id").cast("string"), F.lit(","), F.element_at(F.split("url", "/"), -1), F.lit("_CHM,x ")).alias("value"))
+    return listing.paths_of_lines(lines)
+
+
+def dtm_rewrite(spark, d):
+    return listing_paths(spark, d).select("path", E.rewrite_key(F.col("path"), "_CHM", "_DTM.tif").alias("dtm"), E.before(F.concat("path", F.lit("_DTM_x")), "_DTM").alias("survey"), E.stem(F.col("path")).alias("stem"))
+
+
+def copy_manifest(spark, d):
+    return listing.copy_manifest(listing_paths(spark, d), "/in", "/out/")
+
+
+def tile_keys(spark, d):
+    return rasters.places(spark, d).select("id", E.tile_key(F.col("lat_band"), F.col("lon_band")).alias("tile"), E.quadrant(F.col("lat_band"), F.col("lon_band")).alias("quadrant"))
+
+
+def tiles_for_extent(spark, d):
+    """Tiles of the boxes of 15 degrees at places, by a join on generated keys with those that exist."""
+    boxes = rasters.places(spark, d).where("lat < 60 AND lon < 160")
+    cells = boxes.select("id", F.explode(F.sequence(E.lat_band(F.col("lat") + 15), E.lat_band(F.col("lat")), F.lit(-10))).alias("a"), E.lon_band(F.col("lon")).alias("lo"), E.lon_band(F.col("lon") + 15).alias("hi"))
+    keys = cells.withColumn("o", F.explode(F.sequence("lo", "hi", F.lit(10)))).select("id", E.tile_key(F.col("a"), F.col("o")).alias("tile"))
+    there = rasters.places(spark, d).where("id % 3 = 0").select(E.tile_key(F.col("lat_band"), F.col("lon_band")).alias("tile")).distinct()
+    return keys.join(there, "tile", "left_semi").select("id", "tile")
+
+
+def classify_change(spark, d):
+    o = rasters.read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, None).otherwise((F.col("o_orderkey") * 13) % 160).cast("double").alias("a"), F.when(F.col("o_orderkey") % 5 == 0, None).otherwise((F.col("o_custkey") * 7) % 160).cast("double").alias("b"))
+    return o.groupBy(E.change_class(F.col("a"), F.col("b")).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def block_grid_halo(spark, d):
+    return grid.block_grid(spark, 5000, 3000, 2048, 1024)
+
+
+def raster_extents(spark, d):
+    c = rasters.read(spark, d, "nation").select(F.col("n_name").alias("raster"), (F.col("n_nationkey") * 10.0).alias("x0"), F.lit(0.5).alias("dx"), (F.col("n_nationkey") * -5.0).alias("y0"), F.lit(-0.25).alias("dy"), (F.col("n_nationkey") + 20).alias("cols"), (F.col("n_nationkey") + 8).alias("rows"))
+    return rasters.with_extents(c).select("raster", "xmin", "xmax", "ymin", "ymax")
+
+
+def read_windows(spark, d):
+    z = rasters.zones(spark, d)
+    box = {"xmin": F.col("xmin"), "xmax": F.col("xmax"), "ymin": SIZE - F.col("ymax"), "ymax": SIZE - F.col("ymin")}
+    return z.select("zone_id", *[v.cast("int").alias(k) for k, v in E.read_window(box, 0, 1, SIZE, -1, SIZE, SIZE).items()])
+
+
+def threshold_mask(spark, d):
+    return rasters.linear_raster(spark, d).select("prow", "pcol", E.above(F.col("value"), 15).alias("mask"))
+
+
+def zonal_pixels(spark, d):
+    return _zoned(spark, d).select("zone_id", "prow", "pcol", "value")
+
+
+def zonal_mode(spark, d):
+    return zonal.mode_nonzero(_zoned(spark, d))
+
+
+def extract_v2_pixels(spark, d):
+    return zonal.extract_v2(_zoned(spark, d)).select("zone_id", "prow", "pcol", "value")
+
+
+def extract_v2_status(spark, d):
+    return zonal.status(rasters.zones(spark, d), zonal.extract_v2(_zoned(spark, d)))
+
+
+def extract_v1_natural(spark, d):
+    return zonal.extract_v1(_zoned(spark, d), "natural").select("zone_id", "prow", "pcol", "value")
+
+
+def extract_v1_manmade(spark, d):
+    return zonal.extract_v1(_zoned(spark, d), "manmade").select("zone_id", "prow", "pcol", "value")
+
+
+def overlay_last_wins(spark, d):
+    return pipelines.change_tiles(rasters.zones(spark, d), rasters.change_raster(spark, d), SIZE, SIZE)
+
+
+def block_scatter(spark, d):
+    blocks = grid.scatter(overlay_last_wins(spark, d), SIZE, SIZE, 64)
+    return grid.gather(blocks, 64)
+
+
+def block_scatter_counts(spark, d):
+    """Sizes of the blocks that have pixels."""
+    blocks = grid.scatter(overlay_last_wins(spark, d), SIZE, SIZE, 100)
+    return blocks.select("block_row", "block_col", "height", "width")
+
+
+def quadrant_counts(spark, d):
+    return mosaic.quadrants(rasters.places(spark, d)).groupBy("quadrant").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bbox_join(spark, d):
+    b = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("xmin", "xmax", "ymin", "ymax")]
+    return grid.cell_join(rasters.zones(spark, d).select("zone_id", *b("l")), rasters.tiles(spark, d).select("location", *b("r")), 32.0).select("zone_id", "location")
+
+
+def tile_semi_join(spark, d):
+    b = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("xmin", "xmax", "ymin", "ymax")]
+    few = rasters.zones(spark, d).where("zone_id < 12")
+    return grid.cell_join(rasters.tiles(spark, d).select("location", *b("l")), few.select("zone_id", *b("r")), 32.0, "left_semi").select("location")
+
+
+def tile_list(spark, d):
+    return listing.tile_list(pipelines.tiles_of(rasters.zones(spark, d).where("zone_id < 12"), rasters.tiles(spark, d), "zone_id", 32.0))
+
+
+def tile_nonblank(spark, d):
+    return mosaic.not_blank(mosaic.split_by_tiles(overlay_last_wins(spark, d), rasters.tiles(spark, d)))
+
+
+def training_tiles(spark, d):
+    out = pipelines.change_training(rasters.zones(spark, d), rasters.change_raster(spark, d), rasters.tiles(spark, d), "natural", SIZE, SIZE)
+    return out.groupBy("zone_id", "location").agg(F.count(F.lit(1)).alias("cells"), F.sum("value").alias("total"))
+
+
+def slope_deg(spark, d):
+    s = focal.slope(rasters.elevation(spark, d))
+    return s.select("prow", "pcol", F.round("value", 6).alias("slope"))
+
+
+def dilate3x3(spark, d):
+    return focal.dilate(rasters.elevation(spark, d))
+
+
+def sum3x3(spark, d):
+    return focal.sum3(rasters.change_raster(spark, d)).select("prow", "pcol", "value")
+
+
+def endpoint_count(spark, d):
+    ends = focal.endpoints(rasters.linear_raster(spark, d).select("prow", "pcol", E.above(F.col("value"), 40).alias("value")))
+    return ends.select("prow", "pcol")
+
+
+def slope_dilated_mosaic(spark, d):
+    dem = rasters.elevation(spark, d)
+    two = dem.withColumn("raster_ord", F.lit(1)).unionByName(dem.where("prow >= 100 AND prow < 200").withColumn("value", F.col("value") * 2).withColumn("raster_ord", F.lit(2)))
+    return pipelines.smoothed_slope(two).select("prow", "pcol", F.round("value", 6).alias("value"))
+
+
+def mosaic_last_wins(spark, d):
+    g = rasters.change_raster(spark, d)
+    sources = g.withColumn("ord", F.lit(1)).unionByName(g.where("prow < 90").withColumn("value", F.when(F.col("value") > 8, F.col("value") + 100).otherwise(255)).withColumn("ord", F.lit(2)))
+    return mosaic.mosaic(sources, "ord")
+
+
+def components4(spark, d):
+    return morphology.components(rasters.linear_raster(spark, d).where("value > 60 AND prow < 48 AND pcol < 48"), 48, 48)
+
+
+def _lines(spark, d, threshold=30):
+    return rasters.linear_raster(spark, d).where(F.col("value") > threshold)
+
+
+def enclosed_interior(spark, d):
+    return morphology.enclosed(_lines(spark, d).where("prow < 40 AND pcol < 40"), 40, 40, 40, 0).select("prow", "pcol")
+
+
+def area_filter(spark, d):
+    return morphology.enclosed(_lines(spark, d).where("prow < 40 AND pcol < 40"), 40, 40, 40, 0, 3).select("prow", "pcol")
+
+
+def skeleton(spark, d):
+    return morphology.skeleton(_lines(spark, d), 96, 96, 48, 24)
+
+
+def close_gaps(spark, d):
+    return morphology.closed(_lines(spark, d), 96, 96, 48, 24, 8)
+
+
+def extract_polygons(spark, d):
+    return pipelines.polygons(rasters.linear_raster(spark, d), 96, 96, 30, block=48, halo=24, gap=4, min_area=2).select("block_id", "polygon", "area", F.size("rings").alias("n_rings"), F.size(F.col("rings")[0]).alias("n_points"))
+
+
+def _buffer_lines(spark, d):
+    z = rasters.zones(spark, d).where("zone_id < 20")
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return z.select(F.col("zone_id").alias("line_id"), F.array(at(F.col("xmin"), F.col("ymin")), at(F.col("xmax") + 0.21, F.col("ymax") + 0.17), at(F.col("xmax") + 6.43, F.col("ymin") + 0.39)).alias("points"))
+
+
+def buffer_rasterize(spark, d):
+    return vector.buffer_lines(_buffer_lines(spark, d), 2.5)
+
+
+def buffer_tiles(spark, d):
+    out = pipelines.line_training(_buffer_lines(spark, d), rasters.tiles(spark, d), 2.5)
+    return out.groupBy("location").agg(F.count(F.lit(1)).alias("cells"))
+
+
+def footprint_mercator(spark, d):
+    boxes = vector.footprint_boxes(_zoned(spark, d), "zone_id", -60.0, 0.01, 5.0, -0.01)
+    return boxes.select("zone_id", *[F.round(E.mercator_x(F.col(c)), 4).alias(c) for c in ("xmin", "xmax")], *[F.round(E.mercator_y(F.col(c)), 4).alias(c) for c in ("ymin", "ymax")])
+
+
+def merged_footprints(spark, d):
+    z = rasters.zones(spark, d).select("zone_id", "xmin", "xmax")
+    return mosaic.merge_footprints({"a_footprint.fgb": z.where("zone_id < 9"), "b_x_footprint.fgb": z.where("zone_id >= 50")})
+
+
+def warped(spark, d):
+    """Nearest pixels of the change raster on a grid of 3.7 pixels."""
+    target = spark.range(60 * 60).select((F.col("id") % 60).cast("int").alias("tx"), F.expr("cast(id div 60 as int)").alias("ty")).withColumns({"cx": (F.col("tx") + 0.5) * 3.7, "cy": (F.col("ty") + 0.5) * 3.7})
+    return mosaic.resample(rasters.change_raster(spark, d), target, lambda x: x, lambda y: y, 0.0, 1.0, 0.0, 1.0).select("tx", "ty", "value")
+
+
+_NAMES = (
+    listing_paths, dtm_rewrite, copy_manifest, tile_keys, tiles_for_extent, classify_change, block_grid_halo, raster_extents, read_windows, threshold_mask, zonal_pixels, zonal_mode, extract_v2_pixels, extract_v2_status, extract_v1_natural, extract_v1_manmade,
+    overlay_last_wins, block_scatter, block_scatter_counts, quadrant_counts, bbox_join, tile_semi_join, tile_list, tile_nonblank, training_tiles, slope_deg, dilate3x3, sum3x3, endpoint_count, slope_dilated_mosaic, mosaic_last_wins,
+    components4, enclosed_interior, area_filter, skeleton, close_gaps, extract_polygons, buffer_rasterize, buffer_tiles, footprint_mercator, merged_footprints, warped,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .plans.sql import ORACLES
+
+    return dict(ORACLES)

@@ -1,0 +1 @@
+"""Nothing streams: rasters and features are bounded tables."""
