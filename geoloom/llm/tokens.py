@@ -1,19 +1,29 @@
 """Exact, memoised encoding with the `tokenizers` library.
 
-The word-level BPE file normalises (NFC, white space, lower case) and then cuts a text into matches of its
-split pattern, none of which spans white space; each match is encoded by itself. So a text's ids are the ids of
-its white-space separated chunks in order, and each distinct chunk needs the library only once. Ids of all known
-chunks lie in one flat array, from which NumPy gathers whole documents. The memo is emptied when it is full,
-which bounds memory and changes no result.
+The word-level BPE file normalises (NFC, white space, lower case), cuts a text into matches of its split pattern,
+none of which spans white space, and encodes each match by itself. So a text's ids are the ids of its matches in
+order, and each distinct match needs the library only once. Matches of Latin-1 text, on which NFC does nothing and
+Python's lower() is the library's, are found here; any other white-space separated chunk goes to the library whole.
+Ids of all known pieces lie in one flat array, from which NumPy gathers whole documents. The memo is emptied when
+it is full, which bounds memory and changes no result.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 END_ID = 1
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The tokenizer's split pattern on lower-case Latin-1 text.
+_PIECES = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTERS}{_NUMBERS}]+|[{_NUMBERS}]")
+_CHUNKS = re.compile(r"[^ \t\n\r\f\v]+")
+#: Python's \s holds these, the tokenizer's does not; and the mark of special tokens.
+_ODD = re.compile("[\x1c-\x1f]|<\\|")
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -21,9 +31,25 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_TOKENIZER)
 
 
+def _plain(text: str) -> bool:
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return not _ODD.search(text)
+
+
+class _Index(dict):
+    """Numbers pieces in the order in which they are first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = at = len(self)
+        return at
+
+
 class ChunkEncoder:
-    def __init__(self, path: str | None = None, max_chunks: int = 600_000):
-        import regex
+    def __init__(self, path: str | None = None, max_pieces: int = 900_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path or default_path())
@@ -32,104 +58,72 @@ class ChunkEncoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends_word[i] = token.endswith("</w>")
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.max_chunks = max_chunks
+        self.max_pieces = max_pieces
         self._forget()
 
     def _forget(self) -> None:
-        self.chunk: dict[str, int] = {}
-        self.word: dict[str, np.ndarray] = {}
+        self.index = _Index()
         self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
-
-    def _words(self, words: list[str]) -> None:
-        """Encode unseen matches of the split pattern, a few at a time joined by blanks."""
-        groups = [words[i : i + 64] for i in range(0, len(words), 64)]
-        for group, found in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, np.int32)
-            cuts = np.flatnonzero(self.ends_word[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
-            if len(cuts) == len(group) and cuts[-1] == len(ids):
-                for w, part in zip(group, np.split(ids, cuts[:-1]), strict=True):
-                    self.word[w] = part
-            else:  # a special token's string or an odd character: each alone
-                for w, alone in zip(group, self.library.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                    self.word[w] = np.array(alone.ids, np.int32)
-
-    def _learn(self, chunks: list[str]) -> None:
-        parts: list[list[str] | None] = []
-        odd: list[str] = []
-        fresh: dict[str, None] = {}
-        for c in chunks:
-            plain = "<|" not in c
-            if plain and not c.isascii():
-                try:
-                    c.encode("latin-1")
-                except UnicodeEncodeError:
-                    plain = False
-            if plain:
-                parts.append(found := self.pieces.findall(c.lower()))
-                for w in found:
-                    if w not in self.word:
-                        fresh[w] = None
+        self.ends = np.zeros(1 << 14, np.int64)  # of each piece's ids in flat
+
+    def _cut(self, text: str) -> list[str]:
+        if _plain(text):
+            return _PIECES.findall(text.lower())
+        out: list[str] = []
+        for chunk in _CHUNKS.findall(text):
+            if _plain(chunk):
+                out += _PIECES.findall(chunk.lower())
             else:
-                parts.append(None)
-                odd.append(c)
-        if fresh:
-            self._words(list(fresh))
-        alone = iter(self.library.encode_batch_fast(odd, add_special_tokens=False) if odd else ())
-        found = [np.array(next(alone).ids, np.int32) if p is None else np.concatenate([self.word[w] for w in p]) if len(p) > 1 else self.word[p[0]] if p else np.zeros(0, np.int32) for p in parts]
-        n = len(self.chunk)
-        while len(self.starts) < n + len(found):
-            self.starts, self.lengths = np.concatenate([self.starts, self.starts * 0]), np.concatenate([self.lengths, self.lengths * 0])
-        sizes = np.array([len(x) for x in found], np.int64)
-        self.lengths[n : n + len(found)] = sizes
-        self.starts[n : n + len(found)] = self.used + np.cumsum(sizes) - sizes
-        total = int(sizes.sum())
-        while len(self.flat) < self.used + total:
+                out.append("\0" + chunk)
+        return out
+
+    def _library(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, size of each piece's ids) of runs of pieces that the memo lacks."""
+        out = []
+        for at in range(0, len(pieces), 64):
+            group = pieces[at : at + 64]
+            ids = np.array(self.library.encode(" ".join(group), add_special_tokens=False).ids, np.int32) if not any(p[0] == "\0" for p in group) else np.zeros(0, np.int32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                out.append((ids, np.diff(ends, prepend=0)))
+            else:
+                alone = [np.array(self.library.encode(p.removeprefix("\0"), add_special_tokens=False).ids, np.int32) for p in group]
+                out.append((np.concatenate(alone), np.array([len(x) for x in alone], np.int64)))
+        return out
+
+    def _learn(self, known: int) -> None:
+        fresh = [p for p, _ in zip(reversed(self.index), range(len(self.index) - known), strict=False)][::-1]
+        found = self._library(fresh)
+        sizes, ids = np.concatenate([s for _, s in found]), np.concatenate([i for i, _ in found])
+        while len(self.ends) < len(self.index):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        used = int(self.ends[known - 1]) if known else 0
+        while len(self.flat) < used + len(ids):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if total:
-            self.flat[self.used : self.used + total] = np.concatenate(found)
-        self.used += total
-        self.chunk.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.flat[used : used + len(ids)] = ids
+        self.ends[known : known + len(sizes)] = used + np.cumsum(sizes)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each whole text with END_ID after them, as int32 arrays."""
-        if len(self.chunk) > self.max_chunks or len(self.word) > self.max_chunks:
+        if len(self.index) > self.max_pieces:
             self._forget()
-        cut = [t.split() if t.isascii() and not _CONTROL.intersection(t) else _WHITE.split(t) for t in texts]
-        known = self.chunk
-        fresh = dict.fromkeys(c for chunks in cut for c in chunks if c not in known)
-        if fresh:
-            self._learn(list(fresh))
+        known, look = len(self.index), self.index.__getitem__
+        places = [np.fromiter(map(look, p), np.int64, len(p)) for p in map(self._cut, texts)]
+        if len(self.index) > known:
+            self._learn(known)
         out = []
-        for chunks in cut:
-            at = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-            sizes = self.lengths[at]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = np.empty(total + 1, np.int32)
-            ids[:total] = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(total)]
-            ids[total] = END_ID
+        for at in places:
+            first = np.where(at > 0, self.ends[at - 1], 0)
+            sizes = self.ends[at] - first
+            total = np.cumsum(sizes)
+            n = int(total[-1]) if len(total) else 0
+            ids = np.empty(n + 1, np.int32)
+            ids[:n] = self.flat[np.repeat(first - total + sizes, sizes) + np.arange(n)]
+            ids[n] = END_ID
             out.append(ids)
         return out
 
 
-#: str.split() also cuts at these, the tokenizer's pattern does not.
-_CONTROL = frozenset("\x1c\x1d\x1e\x1f")
-
-
-class _White:
-    import re
-
-    pattern = re.compile(r"[ \t\n\r\f\v]+")
-
-    def split(self, text: str) -> list[str]:
-        return [c for c in self.pattern.split(text) if c]
-
-
-_WHITE = _White()
 _ENCODERS: dict[str | None, ChunkEncoder] = {}
 
 
