@@ -113,11 +113,11 @@ def parity_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
         order = np.argsort(block, kind="stable")
         held, first = np.unique(block[order], return_index=True)
         words = np.bitwise_xor.reduceat(h[order], first)
-        base = held.astype(np.uint64) * _M[4] + np.uint64(k) * _M[5]
+        base = held.astype(np.uint64) * _M[4] + np.array([k], np.uint64) * _M[5]
         out.append(_mix(_mix(words) + base))
         if k - len(held) >= agree:
             empty = np.setdiff1d(np.arange(k), held).astype(np.uint64)
-            out.append(_mix(empty * _M[6] + np.uint64(k) * _M[7]))
+            out.append(_mix(empty * _M[6] + np.array([k], np.uint64) * _M[7]))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -206,7 +206,7 @@ def _crossing(most_num: int, most_den: int, num: int, den: int, nearest: bool):
         _, i, j = key
         left = rows[rows["tile"] == i]
         right = rows[rows["tile"] == j]
-        s = [np.array(x["sketch"].tolist(), np.int64).reshape(-1, SKETCH_BITS // 64) for x in (left, right)]
+        s = [np.array(x["sketch"].tolist(), np.int64).view(np.uint64).reshape(-1, SKETCH_BITS // 64) for x in (left, right)]
         ids, n, comp = ([x[c].to_numpy() for x in (left, right)] for c in ("x", "n", "component"))
         found = []
         for r in range(len(left)):
