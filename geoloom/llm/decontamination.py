@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare word 3-grams of test items seed Smith-Waterman alignments in the documents.
 
-Document frequencies of the items' 3-grams are counted over all documents. Of each item the rarer half of its
-3-grams (8 at least) are seeds, whatever their frequency, so an item that leaked widely keeps its seeds. Where a
+Document frequencies of the items' 3-grams are counted over all documents. An item's rare 3-grams are its seeds;
+what is rare rises with the item's own frequencies, so an item that leaked widely keeps its seeds. Where a
 document has seeds of an item, the words around them are aligned with the item: match +2, mismatch -1, gap -1; the
 score is divided by that of a perfect copy. Copies with edited, dropped and added words stay above `threshold`.
 
@@ -98,13 +98,20 @@ def _count(items: Items):
     return run
 
 
-def choose_seeds(items: Items, frequency: dict[int, int], least: int = 8) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-    """Seeds in order and, of each, the (item, place in it) pairs."""
+def choose_seeds(items: Items, frequency: dict[int, int], rows: int) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """Seeds in order and, of each, the (item, place in it) pairs.
+
+    An item's seeds are its 3-grams in at most a ten-thousandth of all documents, 20, or four times the documents
+    that its median 3-gram is in, whichever is most: copies of a leaked item raise all of its frequencies alike.
+    """
     owners: dict[int, list[tuple[int, int]]] = {}
     for i, grams in enumerate(items.grams):
-        first = {int(g): k for k, g in reversed(list(enumerate(grams)))}
-        for g in sorted(first, key=lambda g: (frequency.get(g, 0), first[g]))[: max(least, (len(first) + 1) // 2)]:
-            owners.setdefault(g, []).append((i, first[g]))
+        first = {int(g): k for k, g in reversed(list(enumerate(grams))) if int(g) in frequency}
+        counts = sorted(frequency[g] for g in first)
+        most = max(20, rows // 10_000, 4 * counts[len(counts) // 2]) if counts else 0
+        for g, k in first.items():
+            if frequency[g] <= most:
+                owners.setdefault(g, []).append((i, k))
     seeds = np.array(sorted(owners), np.int64)
     return seeds, [owners[int(g)] for g in seeds]
 
@@ -157,15 +164,15 @@ def _find(items: Items, seeds: np.ndarray, owners: list, threshold: float):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_items: int = 5000) -> DataFrame:
     """FOUND columns: document, item, alignment score and the leaked passage's code points in the lower-cased text."""
     docs = docs.select("doc_id", "text")
-    blocks = max(1, -(-benchmark.count() // block_items))
+    rows, blocks = docs.count(), max(1, -(-benchmark.count() // block_items))
     found = None
     for b in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         items = Items([(r[0], r[1]) for r in part.select("item_id", "text").collect()])  # a block of items
         counted = docs.mapInArrow(_count(items), "gram long, n long").groupBy("gram").agg(F.sum("n"))
         frequency = dict(map(tuple, counted.collect()))  # the block's 3-grams at most
-        rows = docs.mapInArrow(_find(items, *choose_seeds(items, frequency), threshold), FOUND)
-        found = rows if found is None else found.unionByName(rows)
+        part_found = docs.mapInArrow(_find(items, *choose_seeds(items, frequency, rows), threshold), FOUND)
+        found = part_found if found is None else found.unionByName(part_found)
     return found
 
 
