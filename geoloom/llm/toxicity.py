@@ -182,6 +182,8 @@ def boost(rows: list[tuple[int, list[int]]], rounds: int = 60, support: int = 8)
         w = 1 / (1 + np.exp(2 * y * total))
         shift = min(0.0, 0.25 * np.log((w[y > 0].sum() + slack) / (w[y < 0].sum() + slack)))
         bias, total = bias + shift, total + shift
+    if not rules:
+        return min(float(bias), -0.1), {}
     # Votes are fit together, since the rules of one word's stems share its evidence.
     chosen = np.array([np.searchsorted(names, r) for r in rules], np.int64)
     x = np.ones((len(y), len(chosen) + 1))
