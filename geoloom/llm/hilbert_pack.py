@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-Each document's text is hashed into a vector of byte 4-gram counts, projected with fixed random signs to three
+Each document's text is hashed into a vector of byte 3-gram counts, projected with fixed random signs to three
 dimensions, and given the Hilbert index of its cell. Documents are range-partitioned and sorted by that index, so
 neighbours on the curve are packed together. Within a partition the token streams are laid end to end and cut at
 every 2048 ids; the tail of a partition is cut into powers of two, which need no padding.
@@ -57,15 +57,17 @@ def _projection() -> np.ndarray:
     return np.random.default_rng(7).choice([-1.0, 1.0], (BUCKETS, DIMENSIONS))
 
 
-def document_keys(texts: list[str], projection: np.ndarray) -> np.ndarray:
-    """Hilbert keys of whole texts."""
-    points = np.zeros((len(texts), DIMENSIONS))
-    for i, t in enumerate(texts):
-        b = np.frombuffer(t.encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-        if len(b) >= 4:
-            grams = b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24
-            hashed = (grams * np.uint32(2654435761)) >> np.uint32(23)
-            counts = np.sqrt(np.bincount(hashed, minlength=BUCKETS))
+def document_keys(column, projection: np.ndarray) -> np.ndarray:
+    """Hilbert keys of the whole texts of an Arrow string column without nulls, read from its buffers."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    points = np.zeros((len(column), DIMENSIONS))
+    b = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].astype(np.uint16) if data is not None else np.zeros(0, np.uint16)
+    ends = ends - ends[0]
+    grams = (b[:-2] * np.uint16(31321) + b[1:-1] * np.uint16(2777) + b[2:] * np.uint16(40503)) >> np.uint16(7)
+    for i, (first, last) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        if last - first >= 3:
+            counts = np.sqrt(np.bincount(grams[first : last - 2], minlength=BUCKETS))
             counts -= counts.mean()
             points[i] = counts @ projection / (np.linalg.norm(counts) or 1.0)
     cells = np.clip(((np.tanh(points) + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
@@ -74,13 +76,14 @@ def document_keys(texts: list[str], projection: np.ndarray) -> np.ndarray:
 
 def _add_keys(batches):
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     projection = _projection()
     for batch in batches:
-        for first, last, texts in text_slices(batch):
-            part = batch.slice(first, last - first)
-            ids = part.column(part.schema.get_field_index("doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(document_keys(texts, projection)), ids, pa.array(texts, pa.string())], ["curve", "doc_id", "text"])
+        texts = pc.fill_null(batch.column(batch.schema.get_field_index("text")).cast(pa.string()), "")
+        keys = [document_keys(texts.slice(at, 512), projection) for at in range(0, len(texts), 512)]
+        ids = batch.column(batch.schema.get_field_index("doc_id"))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), ids, texts], ["curve", "doc_id", "text"])
 
 
 class _Packer:
