@@ -38,10 +38,15 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Words that announce personal data.
 SECRET_WORDS = {"password", "passwd", "passwort", "pwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "access_key", "secret_key", "private_key", "auth", "key", "credential", "clave", "contraseña", "motdepasse", "pin"}
 ACCOUNT_WORDS = {"ssn", "iban", "account", "passport", "konto", "cuenta", "compte", "tel", "phone", "telefon", "teléfono", "téléphone", "mobile", "fax", "id", "licence", "license"}
-_SECRET = re.compile(r"(?P<word>[^\W\d][\w-]{1,30})[\"']?\s{0,2}[:=]\s{0,2}[\"']?(?P<value>[A-Za-z0-9_+/.=-]{6,})")
+#: A candidate's rare part is sought first; the words before it are then read backwards, in a window that holds any match.
+_GIVEN = re.compile(r"[:=]\s{0,2}[\"']?(?P<value>[A-Za-z0-9_+/.=-]{6,})")
+_GIVEN_TO = re.compile(r"(?P<word>[^\W\d][\w-]{1,30})[\"']?\s{0,2}\Z")
 _KEY = re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*[0-9])(?P<value>[A-Za-z0-9_+/=-]{16,})")
-_ACCOUNT = re.compile(r"(?P<word>[^\W\d]{2,12})[.:#]?\s{1,2}(?:no\.?\s)?(?P<value>[A-Z]{0,2}[0-9][0-9A-Z -]{5,32}[0-9A-Z])")
-_CONTACT = re.compile(r"(?P<value>[A-Za-z0-9._-]+\s?[\[(]at[\])]\s?[A-Za-z0-9-]+\s?(?:[\[(]dot[\])]|\.)\s?[A-Za-z]{2,})", re.IGNORECASE)
+_NUMBER = re.compile(r"(?<=\s)(?P<value>[A-Z]{0,2}[0-9][0-9A-Z -]{5,32}[0-9A-Z])")
+_NUMBER_OF = re.compile(r"(?P<word>[^\W\d]{2,12})[.:#]?\s{1,2}(?:no\.?\s)?\Z")
+_AT = re.compile(r"[\[(]at[\])]\s?[A-Za-z0-9-]+\s?(?:[\[(]dot[\])]|\.)\s?[A-Za-z]{2,}", re.IGNORECASE)
+_BEFORE_AT = re.compile(r"[A-Za-z0-9._-]{1,64}\s?\Z")
+_WINDOW = 80
 
 
 def _luhn(digits: str) -> bool:
@@ -88,15 +93,22 @@ def _entropy(value: str) -> float:
     return float(-(n * np.log2(n)).sum())
 
 
+def _after(what: re.Pattern, before: re.Pattern, text: str):
+    """Matches of `what` that end what `before` describes, each with its match of `before`."""
+    for m in what.finditer(text):
+        if w := before.search(text[max(0, m.start() - _WINDOW) : m.start()]):
+            yield m, w
+
+
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, vote and feature pattern) of what may be personal besides the base spans; none overlap."""
     found = []
     if "=" in text or ":" in text:
-        found += [(*m.span("value"), "secret", m["word"].lower()) for m in _SECRET.finditer(text)]
+        found += [(*m.span("value"), "secret", w["word"].lower()) for m, w in _after(_GIVEN, _GIVEN_TO, text)]
     found += [(*m.span("value"), "secret", "") for m in _KEY.finditer(text)]
-    found += [(*m.span("value"), "account", m["word"].lower()) for m in _ACCOUNT.finditer(text)]
-    if "at" in text and ("[" in text or "(" in text):
-        found += [(*m.span("value"), "contact", "") for m in _CONTACT.finditer(text)]
+    found += [(*m.span("value"), "account", w["word"].lower()) for m, w in _after(_NUMBER, _NUMBER_OF, text)]
+    if "[" in text or "(" in text:
+        found += [(m.start() - len(w[0]), m.end(), "contact", "") for m, w in _after(_AT, _BEFORE_AT, text)]
     out, last = [], -1
     for a, b, kind, word in sorted(found, key=lambda x: (x[0], -x[1], x[2] != "secret", x[3] == "")):
         if a < last:
