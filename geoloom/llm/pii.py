@@ -38,10 +38,13 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Words that announce personal data.
 SECRET_WORDS = {"password", "passwd", "passwort", "pwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "access_key", "secret_key", "private_key", "auth", "key", "credential", "clave", "contraseña", "motdepasse", "pin"}
 ACCOUNT_WORDS = {"ssn", "iban", "account", "passport", "konto", "cuenta", "compte", "tel", "phone", "telefon", "teléfono", "téléphone", "mobile", "fax", "id", "licence", "license"}
+#: How keys of widely used services begin.
+KEY_STARTS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk-", "npm_", "hf_")
+
 #: A candidate's rare part is sought first; the words before it are then read backwards, in a window that holds any match.
 _GIVEN = re.compile(r"[:=]\s{0,2}[\"']?(?P<value>[A-Za-z0-9_+/.=-]{6,})")
 _GIVEN_TO = re.compile(r"(?P<word>[^\W\d][\w-]{1,30})[\"']?\s{0,2}\Z")
-_KEY = re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*[0-9])(?P<value>[A-Za-z0-9_+/=-]{16,})")
+_KEY = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])(?P<value>[A-Za-z0-9_+/-]{16,}={0,2})")
 _NUMBER = re.compile(r"(?<=\s)(?P<value>[A-Z]{0,2}[0-9][0-9A-Z -]{5,32}[0-9A-Z])")
 _NUMBER_OF = re.compile(r"(?P<word>[^\W\d]{2,12})[.:#]?\s{1,2}(?:no\.?\s)?\Z")
 _AT = re.compile(r"[\[(]at[\])]\s?[A-Za-z0-9-]+\s?(?:[\[(]dot[\])]|\.)\s?[A-Za-z]{2,}", re.IGNORECASE)
@@ -120,7 +123,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
         rich = _entropy(value)
         form = 1 if kind == "contact" or (kind == "secret" and digits >= 2 and digits < len(value) and rich >= 2.5 and len(value) >= 8) or (kind == "account" and digits >= 8) else -1 if digits == 0 or rich < 1.5 else 0
         names = SECRET_WORDS if kind == "secret" else ACCOUNT_WORDS
-        listed = 1 if word in names or any(w in names for w in re.split(r"[_-]", word)) else 0 if not word else -1
+        listed = 1 if kind == "secret" and value.startswith(KEY_STARTS) or word in names or any(w in names for w in re.split(r"[_-]", word)) else 0 if not word else -1
         around = 1 if re.search(r"[=:\"'#]\s?$", before) else 0 if kind == "contact" or not before.strip() else -1
         features = (kind, "hex" if hexadecimal else "mixed", min(len(value) // 8, 5), round(2 * rich) // 2, min(3, 4 * digits // len(value)), upper > 0, listed, around)
         out.append((a, b, kind, f"{form},{listed},{around}|{'/'.join(map(str, features))}"))
