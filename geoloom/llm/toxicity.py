@@ -139,23 +139,27 @@ def _train_rows(costs):
                 for t in texts:
                     whole, spaced = _tokens(t)
                     words = {w for x in whole for w in restorer.words(x)} | {restorer.decode(s) for s in spaced}
-                    rows.append(sorted({f for w in words for f in _features(w)}))
-                yield pa.RecordBatch.from_arrays([labels.slice(first, last - first), pa.array(rows, pa.list_(pa.int64()))], ["toxic", "features"])
+                    rows.append(np.array(sorted({f for w in words for f in _features(w)}), "<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([labels.slice(first, last - first), pa.array(rows, pa.binary())], ["toxic", "features"])
 
     return run
 
 
-def boost(rows: list[tuple[int, list[int]]], rounds: int = 60, support: int = 8) -> tuple[float, dict[int, float]]:
+def boost(rows: list[tuple[int, bytes]], rounds: int = 60, support: int = 8) -> tuple[float, dict[int, float]]:
     """Boosting (Schapire and Singer, 1999; logistic weights) of rules that vote for label 1 where a feature is present.
 
-    Labels are noisy: a rule needs `support` rows of label 1, and odds of e**2 over those of all rows.
+    Labels are noisy: a rule needs `support` rows of label 1, and odds of e**2 over those of all rows. A row's
+    features are distinct unsigned 32-bit numbers, little-endian.
     """
-    rows = list({(t, tuple(f)): None for t, f in rows})  # exact copies teach once
+    rows = list(dict.fromkeys(rows))  # exact copies teach once
     y = np.array([1.0 if t else -1.0 for t, _ in rows])
     if len(set(y)) < 2:
         return -20.0, {}
-    owner = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
-    names, column = np.unique(np.concatenate([np.array(f, np.int64) for _, f in rows]), return_inverse=True)
+    features = [np.frombuffer(f, "<u4") for _, f in rows]
+    found, times = np.unique(np.concatenate([f for f, t in zip(features, y, strict=True) if t > 0]), return_counts=True)
+    features = [f[np.isin(f, found[times >= support], assume_unique=True)] for f in features]  # others can't be rules
+    owner = np.repeat(np.arange(len(rows)), list(map(len, features)))
+    names, column = np.unique(np.concatenate(features), return_inverse=True)
     positive = np.bincount(column, weights=y[owner] > 0, minlength=len(names))
     other = np.bincount(column, minlength=len(names)) - positive
     base = (y > 0).sum() / (y < 0).sum()
@@ -232,8 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> tuple[np.n
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
     labelled = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # max_train ids at most
-    rows = labelled.mapInArrow(_train_rows(costs), "toxic int, features array<long>").collect()
-    return (costs, *(boost(sorted((r[0], r[1]) for r in rows)) if rows else (-20.0, {})))
+    rows = labelled.mapInArrow(_train_rows(costs), "toxic int, features binary")
+    known = sorted((toxic, bytes(features)) for toxic, features in rows.collect())
+    return (costs, *(boost(known) if known else (-20.0, {})))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> DataFrame:
