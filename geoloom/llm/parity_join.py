@@ -9,7 +9,9 @@ slack for them, and only sets with more empty blocks than the slack are also joi
 
 1. Sets that are equal form a class; its smallest doc_id stands for it, and only its text gets join keys.
 2. Representatives that share a parity word are linked to the smallest of them (a star), not to each other.
-3. Star pairs whose sizes and 1024-bit parity sketches allow J >= t are verified on the texts; links make components.
+3. Star pairs whose sizes and parity sketches allow J >= t are verified on the texts; links make components. A
+   sketch has two bits or more for each shingle, so that it also tells long sets apart; of two lengths the longer is
+   folded.
 4. Within a star whose members lie in several components, pairs across components are compared by sketches in tiles
    and verified: first the nearest for each member and component, then all that are left. A pair that shares a
    parity word lies in one star, so no link between components is lost.
@@ -33,7 +35,8 @@ from .runtime import materialise, release, table
 from .tokens import text_slices
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-SKETCH_BITS = 1024
+#: Bits of the shortest and the longest sketch. Beyond, a sketch only excludes fewer pairs; its distance stays a lower bound.
+SKETCH_BITS = (256, 65536)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -122,9 +125,22 @@ def parity_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """1024 parities in 16 words: a Hamming distance never exceeds the sets' symmetric difference."""
-    bits = np.bincount(((h * _M[2]) >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view("<i8")
+    """Parities in 64-bit words: a Hamming distance never exceeds the sets' symmetric difference."""
+    bits = min(max(SKETCH_BITS[0], 1 << (2 * len(h)).bit_length()), SKETCH_BITS[1])
+    odd = np.bincount(((h * _M[2]) >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def fold(s: np.ndarray) -> np.ndarray:
+    """Sketches (in the last axis) of half as many bits."""
+    half = s.shape[-1] // 2
+    return s[..., :half] ^ s[..., half:]
+
+
+def _folded(long: str, short: str):
+    """Column `long`, folded if it is longer than column `short`."""
+    half = (F.size(long) / 2).cast("int")
+    return F.when(F.size(long) > F.size(short), F.zip_with(F.slice(long, F.lit(1), half), F.slice(long, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(long))
 
 
 def _sets(words: int):
@@ -206,11 +222,21 @@ def _crossing(most_num: int, most_den: int, num: int, den: int, nearest: bool):
         _, i, j = key
         left = rows[rows["tile"] == i]
         right = rows[rows["tile"] == j]
-        s = [np.array(x["sketch"].tolist(), np.int64).view(np.uint64).reshape(-1, SKETCH_BITS // 64) for x in (left, right)]
+        one = [np.array(x, np.int64).view(np.uint64) for x in left["sketch"]]
+        lengths = right["sketch"].map(len).to_numpy()
+        classes = {}
+        for size in np.unique(lengths):
+            at = np.flatnonzero(lengths == size)
+            two = np.array(right["sketch"].iloc[at].tolist(), np.int64).view(np.uint64)
+            classes[int(size)] = (at, two, fold(two))
         ids, n, comp = ([x[c].to_numpy() for x in (left, right)] for c in ("x", "n", "component"))
         found = []
         for r in range(len(left)):
-            apart = np.bitwise_count(s[0][r] ^ s[1]).sum(1)
+            apart = np.full(len(right), np.iinfo(np.int64).max // (2 * most_den))  # sets of other sizes don't link
+            for size, (at, two, halved) in classes.items():
+                mine = len(one[r])
+                if mine in (size, size // 2, 2 * size):
+                    apart[at] = np.bitwise_count((one[r] if mine <= size else fold(one[r])) ^ (two if mine >= size else halved)).sum(1)
             small, large = np.minimum(n[0][r], n[1]), np.maximum(n[0][r], n[1])
             ok = (comp[0][r] != comp[1]) & (apart * most_den <= (small + large) * most_num) & (den * small >= num * large)
             at = np.flatnonzero(ok)
@@ -246,7 +272,7 @@ def _links(docs: DataFrame, words: int, num: int, den: int, tile: int = 2048) ->
         keyed.select("rep", F.min("rep").over(shared).alias("hub")).where("rep <> hub").select("hub", F.col("rep").alias("x")).distinct(), "stars"
     )
     sized = lite.select("rep", "n", "sketch")
-    apart = F.aggregate(F.zip_with("hub_sketch", "sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    apart = F.aggregate(F.zip_with(_folded("hub_sketch", "sketch"), _folded("sketch", "hub_sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
     small, large = F.least("hub_n", "n"), F.greatest("hub_n", "n")
     first = (
         stars.join(sized.withColumnRenamed("rep", "x"), "x")
