@@ -201,7 +201,7 @@ def boost(rows: list[tuple[int, bytes]], rounds: int = 60, support: int = 8) ->
     return float(votes[0]) / 2, {r: float(v) / 2 for r, v in zip(rules, votes[1:], strict=True)}
 
 
-def _score(costs, bias, rules, memo: int = 800_000):
+def _score(costs, bias, rules, memo: int = 250_000):
     def run(batches):
         import pyarrow as pa
 
