@@ -22,8 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import table
-from .tokens import text_slices
+from .runtime import small_batches, table
+from .tokens import forget_encoders, text_slices
 
 WORD = re.compile(r"\w+")
 FOUND = "doc_id long, item_id long, score double, start int, end int"
@@ -87,6 +87,7 @@ def _count(items: Items):
     def run(batches):
         import pyarrow as pa
 
+        forget_encoders()
         seen = np.zeros(len(items.all_grams), np.int64)
         for batch in batches:
             for _, _, texts in text_slices(batch):
@@ -150,6 +151,7 @@ def _find(items: Items, seeds: np.ndarray, owners: list, threshold: float):
     def run(batches):
         import pyarrow as pa
 
+        forget_encoders()
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for first, last, texts in text_slices(batch):
@@ -163,7 +165,7 @@ def _find(items: Items, seeds: np.ndarray, owners: list, threshold: float):
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_items: int = 5000) -> DataFrame:
     """FOUND columns: document, item, alignment score and the leaked passage's code points in the lower-cased text."""
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
     rows, blocks = docs.count(), max(1, -(-benchmark.count() // block_items))
     found = None
     for b in range(blocks):

@@ -23,8 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import table
-from .tokens import text_slices
+from .runtime import small_batches, table
+from .tokens import forget_encoders, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "account", "contact")
@@ -133,6 +133,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
 def _count_patterns(batches):
     import pyarrow as pa
 
+    forget_encoders()
     total: Counter = Counter()
     for batch in batches:
         for _, _, texts in text_slices(batch):
@@ -185,7 +186,7 @@ def train(patterns: dict[str, int]) -> set[str]:
 
 def fit(docs: DataFrame) -> set[str]:
     """Accepted patterns; their number is bounded by the features' values, not by the documents."""
-    rows = docs.select("text").mapInArrow(_count_patterns, "pattern string, n long").groupBy("pattern").agg(F.sum("n")).collect()
+    rows = small_batches(docs).select("text").mapInArrow(_count_patterns, "pattern string, n long").groupBy("pattern").agg(F.sum("n")).collect()
     return train(dict(map(tuple, rows)))
 
 
@@ -207,6 +208,7 @@ def _find(accepted: set[str]):
     def run(batches):
         import pyarrow as pa
 
+        forget_encoders()
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for first, last, texts in text_slices(batch):
@@ -232,6 +234,7 @@ def _mask(accepted: set[str]):
     def run(batches):
         import pyarrow as pa
 
+        forget_encoders()
         for batch in batches:
             at, size = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
             texts = []

@@ -50,6 +50,20 @@ def release(*frames: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session hands whole texts to Python in Arrow batches of a few megabytes.
+
+    A batch is held by the JVM outside its heap and by the Python worker, in both directions. Smaller settings of
+    the session stay.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = int(conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

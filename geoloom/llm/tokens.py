@@ -134,6 +134,11 @@ def encoder(path: str | None) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+def forget_encoders() -> None:
+    """Other operators call this in a reused worker, which then no longer holds the memo of an earlier packing."""
+    _ENCODERS.clear()
+
+
 def text_slices(batch, rows: int = 256, chars: int = 4_000_000):
     """(first, last, texts) over a record batch's text column, null as empty, in bounded slices."""
     texts = batch.column(batch.schema.get_field_index("text"))

@@ -20,8 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import crc_of_id, table
-from .tokens import text_slices
+from .runtime import crc_of_id, small_batches, table
+from .tokens import forget_encoders, text_slices
 
 #: Letters that a sign may stand for.
 LOOK_ALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -46,6 +46,7 @@ def _codes(text: str) -> np.ndarray:
 def _count_trigrams(batches):
     import pyarrow as pa
 
+    forget_encoders()
     classes, total = _class_table(), np.zeros(CLASSES**3, np.int64)
     for batch in batches:
         for _, _, texts in text_slices(batch):
@@ -131,6 +132,7 @@ def _train_rows(costs):
     def run(batches):
         import pyarrow as pa
 
+        forget_encoders()
         restorer = Restorer(costs)
         for batch in batches:
             labels = batch.column(batch.schema.get_field_index("toxic"))
@@ -201,35 +203,43 @@ def boost(rows: list[tuple[int, bytes]], rounds: int = 60, support: int = 8) ->
     return float(votes[0]) / 2, {r: float(v) / 2 for r, v in zip(rules, votes[1:], strict=True)}
 
 
-def _score(costs, bias, rules, memo: int = 250_000):
+class Scorer:
+    """Scores of whole texts; remembers up to `memo` tokens in which no rule is met."""
+
+    def __init__(self, costs: np.ndarray, bias: float, rules: dict[int, float], memo: int = 250_000):
+        self.restorer, self.bias, self.rules, self.memo, self.clean = Restorer(costs), bias, rules, memo, set()
+
+    def score(self, text: str) -> float:
+        whole, spaced = _tokens(text)
+        hits = {f for s in spaced for f in _features(self.restorer.decode(s)) if f in self.rules}
+        for token in whole - self.clean:
+            if found := [f for w in self.restorer.words(token) for f in _features(w) if f in self.rules]:
+                hits.update(found)
+            else:
+                self.clean.add(token)
+        if len(self.clean) > self.memo:
+            self.clean.clear()
+        x = self.bias + sum(self.rules[f] for f in sorted(hits))
+        return 1 / (1 + np.exp(-2 * max(-30.0, min(30.0, x))))
+
+
+def _score(*model):
     def run(batches):
         import pyarrow as pa
 
-        restorer, clean = Restorer(costs), set()
+        forget_encoders()
+        scorer = Scorer(*model)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for first, last, texts in text_slices(batch):
-                scores = []
-                for t in texts:
-                    whole, spaced = _tokens(t)
-                    hits = {f for s in spaced for f in _features(restorer.decode(s)) if f in rules}
-                    for token in whole - clean:
-                        if found := [f for w in restorer.words(token) for f in _features(w) if f in rules]:
-                            hits.update(found)
-                        else:
-                            clean.add(token)
-                    if len(clean) > memo:
-                        clean.clear()
-                    x = bias + sum(rules[f] for f in sorted(hits))
-                    scores.append(1 / (1 + np.exp(-2 * max(-30.0, min(30.0, x)))))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(scores, pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(list(map(scorer.score, texts)), pa.float64())], ["doc_id", "score"])
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> tuple[np.ndarray, float, dict[int, float]]:
     """Character costs, base score and rules; rows held out are not learnt from."""
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
     costs = character_model(docs)
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(crc_of_id(), F.lit(5)) != 0))
@@ -257,14 +267,13 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max
 
 
 def _keep(costs, bias, rules, threshold):
-    score = _score(costs, bias, rules)
-
     def run(batches):
         import pyarrow as pa
 
+        forget_encoders()
+        scorer = Scorer(costs, bias, rules)
         for batch in batches:
-            two = batch.select(["doc_id", "text"])
-            got = np.concatenate([b.column(1).to_numpy() for b in score(iter([two]))]) if batch.num_rows else np.zeros(0)
-            yield batch.filter(pa.array(got < threshold))
+            keep = [scorer.score(t) < threshold for _, _, texts in text_slices(batch) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
