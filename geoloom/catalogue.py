@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from .functions import expressions as E
@@ -10,10 +12,24 @@ from .plans import pipelines
 from .sources import listing, rasters
 
 SIZE = 256
+LINEAR = 96
+
+
+def _zones(spark, d, whole):
+    return rasters.zones(spark, d)
+
+
+def _part(rows, condition, whole):
+    return rows if whole else rows.where(condition)
+
 
+def _linear(spark, d, whole):
+    """The linear raster and its size."""
+    return rasters.linear_raster(spark, d, LINEAR), LINEAR
 
-def _zoned(spark, d):
-    return zonal.zone_pixels(rasters.zones(spark, d), rasters.change_raster(spark, d), SIZE, SIZE)
+
+def _zoned(spark, d, whole=False):
+    return zonal.zone_pixels(_zones(spark, d, whole), rasters.change_raster(spark, d), SIZE, SIZE)
 
 
 def listing_paths(spark, d):
@@ -33,12 +49,12 @@ def tile_keys(spark, d):
     return rasters.places(spark, d).select("id", E.tile_key(F.col("lat_band"), F.col("lon_band")).alias("tile"), E.quadrant(F.col("lat_band"), F.col("lon_band")).alias("quadrant"))
 
 
-def tiles_for_extent(spark, d):
+def tiles_for_extent(spark, d, whole=False):
     """Tiles of the boxes of 15 degrees at places, by a join on generated keys with those that exist."""
-    boxes = rasters.places(spark, d).where("lat < 60 AND lon < 160")
+    boxes = _part(rasters.places(spark, d), "lat < 60 AND lon < 160", whole)
     cells = boxes.select("id", F.explode(F.sequence(E.lat_band(F.col("lat") + 15), E.lat_band(F.col("lat")), F.lit(-10))).alias("a"), E.lon_band(F.col("lon")).alias("lo"), E.lon_band(F.col("lon") + 15).alias("hi"))
     keys = cells.withColumn("o", F.explode(F.sequence("lo", "hi", F.lit(10)))).select("id", E.tile_key(F.col("a"), F.col("o")).alias("tile"))
-    there = rasters.places(spark, d).where("id % 3 = 0").select(E.tile_key(F.col("lat_band"), F.col("lon_band")).alias("tile")).distinct()
+    there = _part(rasters.places(spark, d), "id % 3 = 0", whole).select(E.tile_key(F.col("lat_band"), F.col("lon_band")).alias("tile")).distinct()
     return keys.join(there, "tile", "left_semi").select("id", "tile")
 
 
@@ -56,52 +72,52 @@ def raster_extents(spark, d):
     return rasters.with_extents(c).select("raster", "xmin", "xmax", "ymin", "ymax")
 
 
-def read_windows(spark, d):
-    z = rasters.zones(spark, d)
+def read_windows(spark, d, whole=False):
+    z = _zones(spark, d, whole)
     box = {"xmin": F.col("xmin"), "xmax": F.col("xmax"), "ymin": SIZE - F.col("ymax"), "ymax": SIZE - F.col("ymin")}
     return z.select("zone_id", *[v.cast("int").alias(k) for k, v in E.read_window(box, 0, 1, SIZE, -1, SIZE, SIZE).items()])
 
 
-def threshold_mask(spark, d):
-    return rasters.linear_raster(spark, d).select("prow", "pcol", E.above(F.col("value"), 15).alias("mask"))
+def threshold_mask(spark, d, whole=False):
+    return _linear(spark, d, whole)[0].select("prow", "pcol", E.above(F.col("value"), 15).alias("mask"))
 
 
-def zonal_pixels(spark, d):
-    return _zoned(spark, d).select("zone_id", "prow", "pcol", "value")
+def zonal_pixels(spark, d, whole=False):
+    return _zoned(spark, d, whole).select("zone_id", "prow", "pcol", "value")
 
 
-def zonal_mode(spark, d):
-    return zonal.mode_nonzero(_zoned(spark, d))
+def zonal_mode(spark, d, whole=False):
+    return zonal.mode_nonzero(_zoned(spark, d, whole))
 
 
-def extract_v2_pixels(spark, d):
-    return zonal.extract_v2(_zoned(spark, d)).select("zone_id", "prow", "pcol", "value")
+def extract_v2_pixels(spark, d, whole=False):
+    return zonal.extract_v2(_zoned(spark, d, whole)).select("zone_id", "prow", "pcol", "value")
 
 
-def extract_v2_status(spark, d):
-    return zonal.status(rasters.zones(spark, d), zonal.extract_v2(_zoned(spark, d)))
+def extract_v2_status(spark, d, whole=False):
+    return zonal.status(_zones(spark, d, whole), zonal.extract_v2(_zoned(spark, d, whole)))
 
 
-def extract_v1_natural(spark, d):
-    return zonal.extract_v1(_zoned(spark, d), "natural").select("zone_id", "prow", "pcol", "value")
+def extract_v1_natural(spark, d, whole=False):
+    return zonal.extract_v1(_zoned(spark, d, whole), "natural").select("zone_id", "prow", "pcol", "value")
 
 
-def extract_v1_manmade(spark, d):
-    return zonal.extract_v1(_zoned(spark, d), "manmade").select("zone_id", "prow", "pcol", "value")
+def extract_v1_manmade(spark, d, whole=False):
+    return zonal.extract_v1(_zoned(spark, d, whole), "manmade").select("zone_id", "prow", "pcol", "value")
 
 
-def overlay_last_wins(spark, d):
-    return pipelines.change_tiles(rasters.zones(spark, d), rasters.change_raster(spark, d), SIZE, SIZE)
+def overlay_last_wins(spark, d, whole=False):
+    return pipelines.change_tiles(_zones(spark, d, whole), rasters.change_raster(spark, d), SIZE, SIZE)
 
 
-def block_scatter(spark, d):
-    blocks = grid.scatter(overlay_last_wins(spark, d), SIZE, SIZE, 64)
+def block_scatter(spark, d, whole=False):
+    blocks = grid.scatter(overlay_last_wins(spark, d, whole), SIZE, SIZE, 64)
     return grid.gather(blocks, 64)
 
 
-def block_scatter_counts(spark, d):
+def block_scatter_counts(spark, d, whole=False):
     """Sizes of the blocks that have pixels."""
-    blocks = grid.scatter(overlay_last_wins(spark, d), SIZE, SIZE, 100)
+    blocks = grid.scatter(overlay_last_wins(spark, d, whole), SIZE, SIZE, 100)
     return blocks.select("block_row", "block_col", "height", "width")
 
 
@@ -109,27 +125,27 @@ def quadrant_counts(spark, d):
     return mosaic.quadrants(rasters.places(spark, d)).groupBy("quadrant").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bbox_join(spark, d):
+def bbox_join(spark, d, whole=False):
     b = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("xmin", "xmax", "ymin", "ymax")]
-    return grid.cell_join(rasters.zones(spark, d).select("zone_id", *b("l")), rasters.tiles(spark, d).select("location", *b("r")), 32.0).select("zone_id", "location")
+    return grid.cell_join(_zones(spark, d, whole).select("zone_id", *b("l")), rasters.tiles(spark, d).select("location", *b("r")), 32.0).select("zone_id", "location")
 
 
-def tile_semi_join(spark, d):
+def tile_semi_join(spark, d, whole=False):
     b = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("xmin", "xmax", "ymin", "ymax")]
-    few = rasters.zones(spark, d).where("zone_id < 12")
+    few = _part(_zones(spark, d, whole), "zone_id < 12", whole)
     return grid.cell_join(rasters.tiles(spark, d).select("location", *b("l")), few.select("zone_id", *b("r")), 32.0, "left_semi").select("location")
 
 
-def tile_list(spark, d):
-    return listing.tile_list(pipelines.tiles_of(rasters.zones(spark, d).where("zone_id < 12"), rasters.tiles(spark, d), "zone_id", 32.0))
+def tile_list(spark, d, whole=False):
+    return listing.tile_list(pipelines.tiles_of(_part(_zones(spark, d, whole), "zone_id < 12", whole), rasters.tiles(spark, d), "zone_id", 32.0))
 
 
-def tile_nonblank(spark, d):
-    return mosaic.not_blank(mosaic.split_by_tiles(overlay_last_wins(spark, d), rasters.tiles(spark, d)))
+def tile_nonblank(spark, d, whole=False):
+    return mosaic.not_blank(mosaic.split_by_tiles(overlay_last_wins(spark, d, whole), rasters.tiles(spark, d)))
 
 
-def training_tiles(spark, d):
-    out = pipelines.change_training(rasters.zones(spark, d), rasters.change_raster(spark, d), rasters.tiles(spark, d), "natural", SIZE, SIZE)
+def training_tiles(spark, d, whole=False):
+    out = pipelines.change_training(_zones(spark, d, whole), rasters.change_raster(spark, d), rasters.tiles(spark, d), "natural", SIZE, SIZE)
     return out.groupBy("zone_id", "location").agg(F.count(F.lit(1)).alias("cells"), F.sum("value").alias("total"))
 
 
@@ -146,8 +162,8 @@ def sum3x3(spark, d):
     return focal.sum3(rasters.change_raster(spark, d)).select("prow", "pcol", "value")
 
 
-def endpoint_count(spark, d):
-    ends = focal.endpoints(rasters.linear_raster(spark, d).select("prow", "pcol", E.above(F.col("value"), 40).alias("value")))
+def endpoint_count(spark, d, whole=False):
+    ends = focal.endpoints(_linear(spark, d, whole)[0].select("prow", "pcol", E.above(F.col("value"), 40).alias("value")))
     return ends.select("prow", "pcol")
 
 
@@ -163,57 +179,69 @@ def mosaic_last_wins(spark, d):
     return mosaic.mosaic(sources, "ord")
 
 
-def components4(spark, d):
-    return morphology.components(rasters.linear_raster(spark, d).where("value > 60 AND prow < 48 AND pcol < 48"), 48, 48)
+def components4(spark, d, whole=False):
+    raster, size = _linear(spark, d, whole)
+    part = _part(raster.where("value > 60"), "prow < 48 AND pcol < 48", whole)
+    return morphology.components(part, *((size, size) if whole else (48, 48)), block=24)
+
+
+def _lines(spark, d, whole, threshold=30):
+    raster, size = _linear(spark, d, whole)
+    return raster.where(F.col("value") > threshold), size
 
 
-def _lines(spark, d, threshold=30):
-    return rasters.linear_raster(spark, d).where(F.col("value") > threshold)
+def _enclosed(spark, d, whole, least):
+    lines, size = _lines(spark, d, whole)
+    size = size if whole else 40
+    return morphology.enclosed(_part(lines, "prow < 40 AND pcol < 40", whole), size, size, 24, least).select("prow", "pcol")
 
 
-def enclosed_interior(spark, d):
-    return morphology.enclosed(_lines(spark, d).where("prow < 40 AND pcol < 40"), 40, 40, 40, 0).select("prow", "pcol")
+def enclosed_interior(spark, d, whole=False):
+    return _enclosed(spark, d, whole, 0)
 
 
-def area_filter(spark, d):
-    return morphology.enclosed(_lines(spark, d).where("prow < 40 AND pcol < 40"), 40, 40, 40, 0, 3).select("prow", "pcol")
+def area_filter(spark, d, whole=False):
+    return _enclosed(spark, d, whole, 3)
 
 
-def skeleton(spark, d):
-    return morphology.skeleton(_lines(spark, d), 96, 96, 48, 24)
+def skeleton(spark, d, whole=False):
+    lines, size = _lines(spark, d, whole)
+    return morphology.skeleton(lines, size, size, 48, 24)
 
 
-def close_gaps(spark, d):
-    return morphology.closed(_lines(spark, d), 96, 96, 48, 24, 8)
+def close_gaps(spark, d, whole=False):
+    lines, size = _lines(spark, d, whole)
+    return morphology.closed(lines, size, size, 48, 24, 8)
 
 
-def extract_polygons(spark, d):
-    return pipelines.polygons(rasters.linear_raster(spark, d), 96, 96, 30, block=48, halo=24, gap=4, min_area=2).select("block_id", "polygon", "area", F.size("rings").alias("n_rings"), F.size(F.col("rings")[0]).alias("n_points"))
+def extract_polygons(spark, d, whole=False):
+    raster, size = _linear(spark, d, whole)
+    return pipelines.polygons(raster, size, size, 30, block=48, halo=24, gap=4, min_area=2).select("block_id", "polygon", "area", F.size("rings").alias("n_rings"), F.size(F.col("rings")[0]).alias("n_points"))
 
 
-def _buffer_lines(spark, d):
-    z = rasters.zones(spark, d).where("zone_id < 20")
+def _buffer_lines(spark, d, whole):
+    z = _part(_zones(spark, d, whole), "zone_id < 20", whole)
     at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     return z.select(F.col("zone_id").alias("line_id"), F.array(at(F.col("xmin"), F.col("ymin")), at(F.col("xmax") + 0.21, F.col("ymax") + 0.17), at(F.col("xmax") + 6.43, F.col("ymin") + 0.39)).alias("points"))
 
 
-def buffer_rasterize(spark, d):
-    return vector.buffer_lines(_buffer_lines(spark, d), 2.5)
+def buffer_rasterize(spark, d, whole=False):
+    return vector.buffer_lines(_buffer_lines(spark, d, whole), 2.5)
 
 
-def buffer_tiles(spark, d):
-    out = pipelines.line_training(_buffer_lines(spark, d), rasters.tiles(spark, d), 2.5)
+def buffer_tiles(spark, d, whole=False):
+    out = pipelines.line_training(_buffer_lines(spark, d, whole), rasters.tiles(spark, d), 2.5)
     return out.groupBy("location").agg(F.count(F.lit(1)).alias("cells"))
 
 
-def footprint_mercator(spark, d):
-    boxes = vector.footprint_boxes(_zoned(spark, d), "zone_id", -60.0, 0.01, 5.0, -0.01)
+def footprint_mercator(spark, d, whole=False):
+    boxes = vector.footprint_boxes(_zoned(spark, d, whole), "zone_id", -60.0, 0.01, 5.0, -0.01)
     return boxes.select("zone_id", *[F.round(E.mercator_x(F.col(c)), 4).alias(c) for c in ("xmin", "xmax")], *[F.round(E.mercator_y(F.col(c)), 4).alias(c) for c in ("ymin", "ymax")])
 
 
-def merged_footprints(spark, d):
-    z = rasters.zones(spark, d).select("zone_id", "xmin", "xmax")
-    return mosaic.merge_footprints({"a_footprint.fgb": z.where("zone_id < 9"), "b_x_footprint.fgb": z.where("zone_id >= 50")})
+def merged_footprints(spark, d, whole=False):
+    z = _zones(spark, d, whole).select("zone_id", "xmin", "xmax")
+    return mosaic.merge_footprints({"a_footprint.fgb": z.where("zone_id < 9"), "b_x_footprint.fgb": z.where("zone_id >= 9" if whole else "zone_id >= 50")})
 
 
 def warped(spark, d):
@@ -229,8 +257,14 @@ _NAMES = (
 )
 
 
+#: Queries that the SQL, holds to a part of the tables; NAME_whole runs each over all rows.
+_PARTS = (
+    components4, enclosed_interior, area_filter, tile_semi_join, tile_list, buffer_rasterize, buffer_tiles, merged_footprints, tiles_for_extent,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in _NAMES}
+    return {f.__name__: f for f in _NAMES} | {f"{f.__name__}_whole": partial(f, whole=True) for f in _PARTS}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -170,9 +170,53 @@ def closed(lines: DataFrame, cols: int, rows: int, block: int, halo: int, gap: f
     return per_block(lines, cols, rows, block, halo, lambda m, at: _cells_of(close_gaps(m, gap), at), CELLS)
 
 
-def enclosed(lines: DataFrame, cols: int, rows: int, block: int, halo: int, min_area: int = 0) -> DataFrame:
-    """Cells enclosed by lines as they are."""
-    return per_block(lines, cols, rows, block, halo, lambda m, at: _cells_of(interior(m, min_area), at), CELLS)
+def _labelled(set_cells: DataFrame, cols: int, rows: int, block: int, invert: bool) -> DataFrame:
+    """block_id, prow, pcol, local: 4-connected components (smallest prow * cols + pcol) within each block, of set cells or of those not set."""
+    spark = set_cells.sparkSession
+    places = {r["block_id"]: r.asDict() for r in block_grid(spark, cols, rows, block, 0).collect()}  # the grid's geometry
+    inside = set_cells.select("prow", "pcol").where(F.col("prow").between(0, rows - 1) & F.col("pcol").between(0, cols - 1))
+    at_block = replicate(inside, cols, rows, block, 0)
+    if invert:  # blocks without set cells count as well
+        at_block = at_block.unionByName(block_grid(spark, cols, rows, block, 0).select(F.lit(None).cast("int").alias("prow"), F.lit(None).cast("int").alias("pcol"), "block_id"))
+
+    def run(key, pixels):
+        import pandas as pd
+
+        at = places[int(key[0])]
+        pixels = pixels[pixels["prow"].notna()].astype("int64")
+        mask = _grid_of(pixels, at["height"], at["width"], at["brow"], at["bcol"])
+        found = label(~mask if invert else mask)
+        y, x = np.nonzero(found)
+        _, first = np.unique(found[y, x], return_index=True)  # np.nonzero is in row-major order
+        cell = (y + at["brow"]).astype(np.int64) * cols + x + at["bcol"]
+        return pd.DataFrame({"block_id": np.full(len(y), at["block_id"], np.int32), "prow": (y + at["brow"]).astype(np.int32), "pcol": (x + at["bcol"]).astype(np.int32), "local": cell[first][found[y, x] - 1] if len(y) else cell})
+
+    return at_block.groupBy("block_id").applyInPandas(run, CELLS + ", local long")
+
+
+def _merged(set_cells: DataFrame, cols: int, rows: int, block: int, invert: bool = False) -> DataFrame:
+    """block_id, prow, pcol, component of all blocks: components that meet at block edges are one."""
+    from ..llm.graph import connected_components
+    from ..llm.runtime import materialise
+
+    cells = materialise(_labelled(set_cells, cols, rows, block, invert), "labels")
+    near = lambda c: F.col(c) % block == 0
+    edges = None
+    for along, across in (("prow", "pcol"), ("pcol", "prow")):
+        low = cells.where(near(along) & (F.col(along) > 0)).select((F.col(along) - 1).alias(along), across, F.col("local").alias("u"))
+        high = cells.where(F.col(along) % block == block - 1).select(along, across, F.col("local").alias("v"))
+        pairs = low.join(high, [along, across]).select("u", "v")
+        edges = pairs if edges is None else edges.unionByName(pairs)
+    names = connected_components(edges.distinct())
+    return cells.join(names, cells["local"] == names["node"], "left").select("block_id", "prow", "pcol", F.coalesce("component", "local").alias("component"))
+
+
+def enclosed(lines: DataFrame, cols: int, rows: int, block: int, min_area: int = 0) -> DataFrame:
+    """Cells enclosed by lines as they are, over the whole raster: areas may cross blocks, and none touches the raster's edge."""
+    cells = _merged(lines, cols, rows, block, invert=True)
+    edge = F.col("prow").isin(0, rows - 1) | F.col("pcol").isin(0, cols - 1)
+    inside = cells.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.max(edge).alias("open")).where(~F.col("open") & (F.col("n") >= min_area)).select("component")
+    return cells.join(inside, "component", "left_semi").select("block_id", "prow", "pcol")
 
 
 def extract_polygons(lines: DataFrame, cols: int, rows: int, block: int = 2048, halo: int = 1024, gap: float = 80, min_area: int = 80) -> DataFrame:
@@ -192,15 +236,6 @@ def extract_polygons(lines: DataFrame, cols: int, rows: int, block: int = 2048,
     return per_block(lines, cols, rows, block, halo, kernel, "block_id int, polygon int, area int, rings array<array<struct<x double, y double>>>")
 
 
-def components(cells: DataFrame, height: int, width: int) -> DataFrame:
-    """prow, pcol and component (smallest row * width + col) of 4-connected set cells of one window."""
-
-    def run(key, rows):
-        import pandas as pd
-
-        found = label(_grid_of(rows, height, width))
-        y, x = np.nonzero(found)
-        first = {k: int(i) for k, i in zip(*np.unique(found, return_index=True), strict=True)}
-        return pd.DataFrame({"prow": y.astype(np.int32), "pcol": x.astype(np.int32), "component": np.array([first[k] for k in found[y, x]], np.int64)})
-
-    return cells.select("prow", "pcol", F.lit(0).alias("g")).groupBy("g").applyInPandas(run, "prow int, pcol int, component long")
+def components(cells: DataFrame, height: int, width: int, block: int = 1024) -> DataFrame:
+    """prow, pcol and component (smallest row * width + col) of 4-connected set cells of a raster, labelled by blocks."""
+    return _merged(cells, width, height, block).select("prow", "pcol", "component")
