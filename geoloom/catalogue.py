@@ -12,11 +12,12 @@ from .plans import pipelines
 from .sources import listing, rasters
 
 SIZE = 256
-LINEAR = 96
+#: What the SQL of the queries holds them to: zones below an id, a linear raster of a fixed size. Their _whole variants have neither.
+ZONES, LINEAR = 60, 96
 
 
 def _zones(spark, d, whole):
-    return rasters.zones(spark, d)
+    return rasters.zones(spark, d, None if whole else ZONES)
 
 
 def _part(rows, condition, whole):
@@ -25,7 +26,8 @@ def _part(rows, condition, whole):
 
 def _linear(spark, d, whole):
     """The linear raster and its size."""
-    return rasters.linear_raster(spark, d, LINEAR), LINEAR
+    size = rasters.linear_size(spark, d) if whole else LINEAR
+    return rasters.linear_raster(spark, d, size), size
 
 
 def _zoned(spark, d, whole=False):
@@ -257,9 +259,11 @@ _NAMES = (
 )
 
 
-#: Queries that the SQL, holds to a part of the tables; NAME_whole runs each over all rows.
+#: Queries that the SQL, or a fixed raster size, holds to a part of the tables; NAME_whole runs each over all rows.
 _PARTS = (
-    components4, enclosed_interior, area_filter, tile_semi_join, tile_list, buffer_rasterize, buffer_tiles, merged_footprints, tiles_for_extent,
+    read_windows, threshold_mask, zonal_pixels, zonal_mode, extract_v2_pixels, extract_v2_status, extract_v1_natural, extract_v1_manmade, overlay_last_wins, block_scatter,
+    block_scatter_counts, bbox_join, tile_semi_join, tile_list, tile_nonblank, training_tiles, endpoint_count, components4, enclosed_interior, area_filter,
+    skeleton, close_gaps, extract_polygons, buffer_rasterize, buffer_tiles, footprint_mercator, merged_footprints, tiles_for_extent,
 )
 
 

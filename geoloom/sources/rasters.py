@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,13 +52,14 @@ def change_raster(spark: SparkSession, sf_dir: str, size: int = 256) -> DataFram
     return grid.join(cells, ["prow", "pcol"], "left").select("prow", "pcol", F.coalesce("value", F.lit(0)).cast("int").alias("value"))
 
 
-def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """zone_id, ord, rings, year_start, year_end and envelope in pixel space."""
+def zones(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
+    """zone_id, ord, rings, year_start, year_end and envelope in pixel space, of all customers or of those below an id."""
     k = F.col("c_custkey")
     x, y = (k * 37) % 230 + 0.3, (k * 91) % 230 + 0.7
     kind = k % 5
     year = lambda a, b, c, d: F.when(kind == 1, a).when(kind == 2, b).when(kind == 3, c).when(kind == 4, d).cast("double")
-    rows = read(spark, sf_dir, "customer").where(k < 60).select(
+    customers = read(spark, sf_dir, "customer")
+    rows = (customers if below is None else customers.where(k < below)).select(
         k.alias("zone_id"), k.alias("ord"), box_rings(x, y, x + 6 + k % 17, y + 5 + k % 13).alias("rings"), year(5, 100, 106, 50).alias("year_start"), year(8, 100, 110, 150).alias("year_end")
     )
     return bounds(rows)
@@ -67,8 +70,14 @@ def elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("prow"), F.posexplode("embedding").alias("pcol", "v")).select("prow", "pcol", F.round(F.col("v").cast("double") * 1000, 3).alias("value"))
 
 
-def linear_raster(spark: SparkSession, sf_dir: str, size: int = 96) -> DataFrame:
-    """prow, pcol, value: probabilities of linear features; missing cells are 0."""
+def linear_size(spark: SparkSession, sf_dir: str) -> int:
+    """Rows and columns of the square raster that holds a cell for every order."""
+    last = read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    return max(1, math.isqrt(last or 0) + 1)
+
+
+def linear_raster(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """prow, pcol, value: probabilities of linear features; missing cells are 0. A smaller size than linear_size cuts orders off."""
     k = F.col("o_orderkey")
     return read(spark, sf_dir, "orders").where(k < size * size).select((k % size).cast("int").alias("prow"), F.expr(f"cast((o_orderkey div {size}) % {size} as int)").alias("pcol"), F.floor(F.col("o_totalprice") / 5000).cast("int").alias("value"))
 

@@ -1,0 +1,29 @@
+"""Queries over whole tables against the SQL of their parts, from which the bounds are taken."""
+
+import re
+
+import pytest
+from support import DATA, check
+
+from geoloom import catalogue
+from geoloom.sources import rasters
+
+ZONED = ["read_windows", "zonal_pixels", "zonal_mode", "extract_v2_pixels", "extract_v2_status", "extract_v1_natural", "extract_v1_manmade", "overlay_last_wins", "block_scatter", "block_scatter_counts", "bbox_join", "tile_semi_join", "tile_list", "tile_nonblank", "training_tiles", "buffer_rasterize", "buffer_tiles", "footprint_mercator", "tiles_for_extent", "merged_footprints"]
+
+
+@pytest.mark.parametrize("name", [*ZONED, "threshold_mask", "endpoint_count"])
+def test_whole_tables(spark, name):
+    sql = catalogue.oracle_sql()[name]
+    for part in (" WHERE c_custkey < 60", "z.zone_id < 12 AND ", " WHERE zone_id < 20", " WHERE id % 3 = 0", "lat < 60 AND lon < 160 AND ", " WHERE zone_id < 9 OR zone_id >= 50"):
+        sql = sql.replace(part, "")
+    size = rasters.linear_size(spark, DATA)
+    whole = re.sub(r"\b96\b", str(size), sql.replace(" WHERE o_orderkey < 9216", ""))
+    assert whole != catalogue.oracle_sql()[name]
+    assert check(spark, catalogue.queries()[f"{name}_whole"], whole) > 0
+
+
+def test_every_order_has_a_cell(spark):
+    for folder in (DATA, "/root/testdata/sf0.01"):
+        size = rasters.linear_size(spark, folder)
+        cells = rasters.linear_raster(spark, folder, size)
+        assert cells.select("prow", "pcol").distinct().count() == rasters.read(spark, folder, "orders").count() and (size - 1) ** 2 < rasters.read(spark, folder, "orders").count()
