@@ -1,10 +1,10 @@
 """Main text by line-block distribution.
 
 Markup is stripped into lines, one for each block element. A line's weight is its text's length; lines of
-navigation, headers, footers, adverts and the like weigh nothing, as do lines that are mostly links. Weights are
-summed over sliding windows of `window` lines. Where the sum surges over 0 a region begins, where it dives to 0
+navigation, headers, footers, adverts and the like weigh nothing, as do lines that are mostly links outside article
+and main elements. Weights are summed over sliding windows of `window` lines. Where the sum surges over 0 a region begins, where it dives to 0
 one ends; regions with at least `least_share` of the heaviest region's weight are text, and the lines with weight
-in them are kept.
+in them are kept, as are all lines with weight within an article or main element.
 
 Cases: null and empty html give an empty text; pages cut off within a tag lose that tag; tags without end close with
 their parents; repeated rows each get a row; an empty table gives an empty result; further columns are not carried.
@@ -40,7 +40,8 @@ _PARTS = re.compile(
 )
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
-_KEEPERS = {"html", "body", "article", "main"}
+_CONTAINERS = {"article", "main"}
+_KEEPERS = {"html", "body", *_CONTAINERS}
 
 
 def _is_aside(name: str, rest: str, stack: list[tuple[str, bool]]) -> bool:
@@ -51,27 +52,25 @@ def _is_aside(name: str, rest: str, stack: list[tuple[str, bool]]) -> bool:
     return bool(_HIDDEN.search(rest)) or any(MARKS.search(a or b or c) for a, b, c in _ATTRIBUTE.findall(rest))
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length of its text in links, beside the article) of each block line, in page order."""
-    lines: list[tuple[str, int, bool]] = []
-    text: list[str] = []
-    linked, in_link = 0, 0
+def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, length of its text in links, beside the article, within an article or main) of each block line, in page order."""
+    lines: list[tuple[str, int, bool, bool]] = []
+    text: list[tuple[str, int]] = []
+    in_link = 0
     stack: list[tuple[str, bool]] = []
 
     def close_line():
-        nonlocal linked
         if text:
-            line = " ".join(entities.unescape("".join(text)).split())
-            if line:
-                lines.append((line, linked, bool(stack) and stack[-1][1]))
+            plain = lambda pieces: " ".join(entities.unescape("".join(pieces)).split())
+            if line := plain(t for t, _ in text):
+                linked = len(plain(t if link else " " for t, link in text)) if any(link for _, link in text) else 0
+                lines.append((line, linked, bool(stack) and stack[-1][1], any(s[0] in _CONTAINERS for s in stack)))
             text.clear()
-        linked = 0
 
     at = 0
     for m in _PARTS.finditer(page):
         if m.start() > at:
-            text.append(piece := page[at : m.start()])
-            linked += len(piece) if in_link else 0
+            text.append((page[at : m.start()], in_link))
         at = m.end()
         name = (m["name"] or "").lower()
         if m["raw"] or not name:
@@ -95,14 +94,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 close_line()
             stack.append((name, aside))
     if at < len(page):
-        text.append(page[at:])
+        text.append((page[at:], in_link))
     close_line()
     return lines
 
 
 def main_text(page: str | None, window: int = 3, least_share: float = 0.1) -> str:
     lines = lines_of(page or "")
-    weights = [0 if aside or 2 * linked > len(line) else len(line) for line, linked, aside in lines]
+    weights = [0 if aside or (2 * linked > len(line) and not within) else len(line) for line, linked, aside, within in lines]
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
     regions, begin = [], None
     for i, s in enumerate([*sums, 0]):
@@ -112,7 +111,8 @@ def main_text(page: str | None, window: int = 3, least_share: float = 0.1) -> st
             regions.append((sum(weights[begin:i]), begin, i))  # dive
             begin = None
     heaviest = max((r[0] for r in regions), default=0)
-    return "\n".join(lines[i][0] for mass, a, b in regions if mass >= least_share * heaviest for i in range(a, b) if weights[i])
+    kept = {i for mass, a, b in regions if mass >= least_share * heaviest for i in range(a, b)}
+    return "\n".join(x[0] for i, x in enumerate(lines) if weights[i] and (x[3] or i in kept))
 
 
 def _extract(window, least_share):
