@@ -2,7 +2,7 @@
 
 Markup is stripped into lines, one for each block element. A line's weight is its text's length; lines of
 navigation, headers, footers, adverts and the like weigh nothing, as do lines that are mostly links outside article
-and main elements. Weights are summed over sliding windows of `window` lines. Where the sum surges over 0 a region begins, where it dives to 0
+and main elements. A mark in class, id or role does not reach article and main elements within. Weights are summed over sliding windows of `window` lines. Where the sum surges over 0 a region begins, where it dives to 0
 one ends; regions with at least `least_share` of the heaviest region's weight are text, and the lines with weight
 in them are kept, as are all lines with weight within an article or main element.
 
@@ -27,29 +27,40 @@ BLOCKS = {
     "header", "hr", "html", "legend", "li", "main", "nav", "ol", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
 }
 ASIDE = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "title"}
-#: Words in an element's class, id or role that mark it as no part of the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsbygoogle|banner|breadcrumbs?|byline-share|comment|comments|commentlist|consent|contentinfo|cookies?|disqus|footer|gdpr|header|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|"
-    r"pagination|popup|promo\w*|recommend\w*|related|replies|reply|search|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|widget|complementary|alert|overlay|outbrain|taboola)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words that mark an element as no part of the article, where they make up a whole token of its class, id or role.
+MARKS = (
+    r"ads?|advert\w*|adsbygoogle|banner|breadcrumbs?|byline-share|comments?|commentlist|consent|contentinfo|cookies?|disqus|footer|gdpr|header|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|"
+    r"pagination|popup|promo\w*|recommend\w*|related|replies|reply|search|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|widget|complementary|alert|overlay|outbrain|taboola"
 )
+#: Words that may stand beside these in a token, as in site-footer or related-posts.
+BESIDE = r"site|main|top|bottom|left|right|primary|secondary|global|bar|box|list|links?|items?|posts?|articles?|buttons?|icons?|area|block|container|wrapper|slot|unit"
+_MARK = re.compile(rf"(?:(?:{BESIDE})[_-]+)*(?:{MARKS})(?:[_-]+(?:{MARKS}|{BESIDE}|[0-9]+))*", re.IGNORECASE)
 _PARTS = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 _CONTAINERS = {"article", "main"}
+MARKED, GONE = 1, 2
 _KEEPERS = {"html", "body", *_CONTAINERS}
 
 
-def _is_aside(name: str, rest: str, stack: list[tuple[str, bool]]) -> bool:
+def _is_aside(name: str, rest: str) -> int:
+    """0: no; MARKED: by a word in its class, id or role; GONE: by its name, or since it is not shown."""
     if name in ASIDE:
-        return True
-    if not rest or name in _KEEPERS:
-        return False
-    return bool(_HIDDEN.search(rest)) or any(MARKS.search(a or b or c) for a, b, c in _ATTRIBUTE.findall(rest))
+        return GONE
+    if not rest:
+        return 0
+    marked = 0
+    for key, *values in _ATTRIBUTE.findall(rest):
+        key, value = key.lower(), "".join(values)
+        if key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and _NOT_SHOWN.search(value)):
+            return GONE if name not in _KEEPERS else 0
+        if key in ("class", "id", "role") and name not in _KEEPERS and any(map(_MARK.fullmatch, value.split())):
+            marked = MARKED
+    return marked
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
@@ -57,14 +68,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     lines: list[tuple[str, int, bool, bool]] = []
     text: list[tuple[str, int]] = []
     in_link = 0
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int]] = []
 
     def close_line():
         if text:
             plain = lambda pieces: " ".join(entities.unescape("".join(pieces)).split())
             if line := plain(t for t, _ in text):
                 linked = len(plain(t if link else " " for t, link in text)) if any(link for _, link in text) else 0
-                lines.append((line, linked, bool(stack) and stack[-1][1], any(s[0] in _CONTAINERS for s in stack)))
+                lines.append((line, linked, bool(stack and stack[-1][1]), any(s[0] in _CONTAINERS for s in stack)))
             text.clear()
 
     at = 0
@@ -89,8 +100,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         elif name not in VOID and not m["rest"].endswith("/"):
             if name in ("p", "li", "dt", "dd", "option") and stack and stack[-1][0] == name:
                 stack.pop()
-            aside = (bool(stack) and stack[-1][1]) or _is_aside(name, m["rest"], stack)
-            if aside and not (stack and stack[-1][1]):
+            above = stack[-1][1] if stack else 0
+            aside = 0 if above == MARKED and name in _CONTAINERS else max(above, _is_aside(name, m["rest"]))
+            if bool(aside) != bool(above):
                 close_line()
             stack.append((name, aside))
     if at < len(page):
