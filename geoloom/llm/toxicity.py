@@ -1,7 +1,8 @@
 """Toxicity of restored text: a noisy-channel decoder undoes leetspeak, spacing and repetition, then words are scored.
 
 A character trigram model over all documents is the source; the channel replaces letters by look-alikes, repeats
-them or puts signs between them. For each odd token the lattice of readings is decoded by Viterbi. The scorer is a
+them or puts signs between them. For each odd token, of any length, the lattice of readings is decoded by Viterbi;
+that of a run of spaced letters holds word boundaries. The scorer is a
 boosted sum of abstaining rules on words and word stems of the restored text, fit on at most `max_train` labelled
 rows (those with the smallest hash of doc_id), each whole.
 
@@ -27,7 +28,12 @@ from .tokens import forget_encoders, text_slices
 LOOK_ALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 
 CLASSES = 60  # 0: word boundary, 1-26: a-z, 27-58: Latin-1 letters, 59: any other letter
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_][ ._*-]{1,2}){3,}[^\W_](?!\S)")
+_SIGNS = re.escape("".join(c for c in LOOK_ALIKES if not c.isalnum()))
+#: Three or more single letters, digits or look-alikes with one or two signs between them, also beside punctuation.
+_SPACED = re.compile(rf"(?<![^\W_])(?<![@$])(?:(?:[^\W_]|[{_SIGNS}])[ ._*-]{{1,2}}){{2,}}(?:[^\W_]|[@$])(?![^\W_])(?![@$])")
+#: Of words in spaced runs; a run is read as one word whatever its length.
+LONGEST, NEAR = 24, 8.0
+_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
 _LONG_RUN = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -70,6 +76,14 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return -np.log(tri).astype(np.float32)
 
 
+def _text(chain: tuple | None) -> str:
+    letters = []
+    while chain:
+        chain, last = chain
+        letters.append(last)
+    return "".join(reversed(letters))
+
+
 class Restorer:
     """Most likely plain reading of odd tokens."""
 
@@ -79,41 +93,79 @@ class Restorer:
     def _letter(self, c: str) -> int:
         return int(self.classes[min(ord(c), 0xFFFF)])
 
-    def decode(self, token: str) -> str:
-        """Viterbi over the lattice of token's readings; a state is the last two letters' classes."""
-        states = {(0, 0): (0.0, "")}
-        at = 0
+    def _readings(self, c: str, n: int, literal: bool) -> list[tuple[str, float]]:
+        if c.isalpha():
+            return [(c * n, 0.0)] if literal or n == 1 else [(c * 2, 0.0), (c, 1.0)] if n == 2 else [(c, 0.5), (c * 2, 1.0)]
+        if literal and c in LOOK_ALIKES:
+            return [(letter * n, 0.5) for letter in LOOK_ALIKES[c]]
+        readings = [("", 4.0 if n == 1 and c in LOOK_ALIKES else 0.3)]
+        for letter in LOOK_ALIKES.get(c, ""):
+            readings += [(letter, 0.5)] if n == 1 else [(letter * 2, 0.7), (letter, 1.0)]
+        return readings
+
+    def _step(self, states: dict, readings: list[tuple[str, float]]) -> dict:
+        after: dict = {}
+        for (a, b), (cost, out) in states.items():
+            for letters, price in readings:
+                x, y, total = a, b, cost + price
+                for letter in letters:
+                    z = self._letter(letter)
+                    total += self.costs[x][y][z]
+                    x, y = y, z
+                if (x, y) not in after or total < after[x, y][0]:
+                    after[x, y] = (total, (out, letters) if letters else out)
+        return after
+
+    def _end(self, states: dict) -> tuple[float, tuple | None]:
+        return min(((cost + self.costs[a][b][0], out) for (a, b), (cost, out) in states.items()), key=lambda s: s[0])
+
+    def decode(self, token: str, literal: bool = False) -> str:
+        """Viterbi over the lattice of token's readings; a state is the last two letters' classes.
+
+        literal: each look-alike is a letter, none is left out and none repeats another.
+        """
+        token = _RUN.sub(r"\1\1\1", token)  # three or more of a kind are read alike
+        states, at = {(0, 0): (0.0, None)}, 0
         while at < len(token):
-            c, n = token[at], 1
-            while at + n < len(token) and token[at + n] == c:
+            n = 1
+            while at + n < len(token) and token[at + n] == token[at]:
                 n += 1
+            states = self._step(states, self._readings(token[at], n, literal))
             at += n
-            if c.isalpha():
-                readings = [(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, 1.0)] if n == 2 else [(c, 0.5), (c * 2, 1.0)]
-            else:
-                readings = [("", 4.0 if n == 1 and c in LOOK_ALIKES else 0.3)]
-                for letter in LOOK_ALIKES.get(c, ""):
-                    readings += [(letter, 0.5)] if n == 1 else [(letter * 2, 0.7), (letter, 1.0)]
-            after: dict = {}
-            for (a, b), (cost, out) in states.items():
-                for letters, price in readings:
-                    x, y, total = a, b, cost + price
-                    for letter in letters:
-                        z = self._letter(letter)
-                        total += self.costs[x][y][z]
-                        x, y = y, z
-                    if (x, y) not in after or total < after[x, y][0]:
-                        after[x, y] = (total, out + letters)
-            states = after
-        return min((cost + self.costs[a][b][0], out) for (a, b), (cost, out) in states.items())[1]
+        return _text(self._end(states)[1])
+
+    def spaced_words(self, run: str) -> set[str]:
+        """Readings of a spaced run: as one word, and each word of up to LONGEST signs on a way through the lattice of
+        words that costs at most NEAR more than the best way."""
+        signs = re.sub(r"[ ._*-]", "", run)
+        short = _RUN.sub(r"\1\1\1", signs)
+        words: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for first in range(len(short)):
+            states, at, stop = {(0, 0): (0.0, None)}, first, min(len(short), first + LONGEST)
+            while at < stop:
+                n = 1
+                while at + n < stop and short[at + n] == short[at]:
+                    n += 1
+                for m in range(1, n + 1):  # a word may end within a run of a letter
+                    after = self._step(states, self._readings(short[at], m, False))
+                    words[first, at + m] = self._end(after)
+                states, at = after, at + n
+        ahead, behind = [0.0, *[np.inf] * len(short)], [*[np.inf] * len(short), 0.0]
+        for (a, b), (cost, _) in sorted(words.items()):
+            ahead[b] = min(ahead[b], ahead[a] + cost + 1)
+        for (a, b), (cost, _) in sorted(words.items(), reverse=True):
+            behind[a] = min(behind[a], behind[b] + cost + 1)
+        near = {_text(out) for (a, b), (cost, out) in words.items() if b - a > 2 and ahead[a] + cost + 1 + behind[b] <= ahead[-1] + NEAR}
+        return {w for w in {self.decode(signs), self.decode(signs, literal=True), *near} if w}
 
     def words(self, token: str) -> set[str]:
         """Readings of one lower-case token: its letters as they stand and, where it looks odd, as decoded."""
         bare = token.strip(".,;:?!\"'()[]{}#%&*$|-_…«»“”")
         if bare.isalpha() and not _LONG_RUN.search(bare) and not re.search(r"^[$|(!]\w|\w[$|]$", token):
             return {bare}
-        if len(token) > 64 or not any(c.isalpha() for c in token):
-            return {bare[:64]} if bare else set()
+        if not any(c.isalpha() for c in token):
+            core = token.rstrip(".,;:?")
+            return {w for w in (bare, self.decode(core), self.decode(core.rstrip("!)"), literal=True)) if w} if any(c in LOOK_ALIKES for c in token) else {bare} - {""}
         core = re.sub(r"^([^\w\s])\1+|([^\w\s])\2+$", "", token).rstrip(".,;:?")
         return {w for w in (bare, self.decode(core)) if w}
 
@@ -125,7 +177,7 @@ def _features(word: str) -> list[int]:
 
 def _tokens(text: str) -> tuple[set[str], list[str]]:
     text = text.lower()
-    return set(text.split()), [re.sub(r"[ ._*-]", "", m) for m in _SPACED.findall(text)]
+    return set(text.split()), _SPACED.findall(text)
 
 
 def _train_rows(costs):
@@ -140,7 +192,7 @@ def _train_rows(costs):
                 rows = []
                 for t in texts:
                     whole, spaced = _tokens(t)
-                    words = {w for x in whole for w in restorer.words(x)} | {restorer.decode(s) for s in spaced}
+                    words = {w for x in whole for w in restorer.words(x)} | {w for s in spaced for w in restorer.spaced_words(s)}
                     rows.append(np.array(sorted({f for w in words for f in _features(w)}), "<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([labels.slice(first, last - first), pa.array(rows, pa.binary())], ["toxic", "features"])
 
@@ -211,7 +263,7 @@ class Scorer:
 
     def score(self, text: str) -> float:
         whole, spaced = _tokens(text)
-        hits = {f for s in spaced for f in _features(self.restorer.decode(s)) if f in self.rules}
+        hits = {f for s in spaced for w in self.restorer.spaced_words(s) for f in _features(w) if f in self.rules}
         for token in whole - self.clean:
             if found := [f for w in self.restorer.words(token) for f in _features(w) if f in self.rules]:
                 hits.update(found)
