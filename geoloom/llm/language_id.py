@@ -5,7 +5,8 @@ phrases that occur in that text; the language needing fewest phrases for each ch
 cut into pieces of SEGMENT characters, which are parsed side by side by NumPy: a new phrase begins at each cut.
 
 The labelled text is that of at most `max_docs` rows of each language (those with the smallest hash of doc_id and
-text), whole rows while they fit into `max_chars` characters.
+text), whole rows while they fit into `max_chars` characters; of a language with longer rows alone, the beginnings of
+these. Every letter of the samples counts: the ALPHABET commonest have dense tables, others are searched.
 
 Cases: null, empty and letterless texts are `und` with score 0; null labels are not learnt from; without labelled
 rows all is `und`; equal phrase counts go to the language first in order; repeated rows each get a row; an empty
@@ -65,33 +66,45 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        letters = [c for c, _ in sorted(Counter("".join(samples.values())).items(), key=lambda x: (-x[1], x[0])) if c != " "][: ALPHABET - 2]
-        self.classes = np.zeros(0x10000, np.uint8)  # 0: a letter not in the alphabet
-        for code in range(0x10000):
-            if not chr(code).isalpha():
-                self.classes[code] = 1
+        letters = [c for c, _ in sorted(Counter("".join(samples.values())).items(), key=lambda x: (-x[1], x[0])) if c != " "]
+        self.classes = np.array([not chr(code).isalpha() for code in range(0x110000)], np.int32)  # 0: a letter in no sample; 1: no letter
         for i, c in enumerate(letters):
-            if ord(c) < 0x10000:
-                self.classes[ord(c)] = i + 2
-        tables, self.roots, at = [], [], 0
+            self.classes[ord(c)] = i + 2
+        self.size = len(letters) + 2
+        tables, rare, self.roots, at = [], [], [], 0
         for language in self.languages:
-            codes = self.classes[np.frombuffer(samples[language].encode("utf-32-le"), np.uint32).clip(max=0xFFFF)]
+            codes = self.classes[np.frombuffer(samples[language].encode("utf-32-le"), np.uint32)]
             steps = suffix_automaton([int(c) or -1 for c in codes])
             t = np.full((len(steps), ALPHABET), -1, np.int32)
             for s, after in enumerate(steps):
                 for c, to in after.items():
-                    if c >= 0:
+                    if c >= ALPHABET:
+                        rare.append(((at + s) * self.size + c, at + to))
+                    elif c >= 0:
                         t[s, c] = at + to
             tables.append(t)
             self.roots.append(at)
             at += len(steps)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        rare.sort()
+        self.rare_keys, self.rare_to = np.array([k for k, _ in rare], np.int64), np.array([to for _, to in rare], np.int32)
+
+    def _step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """States after classes c, -1 where there are none: by table for the commonest letters, by search for others."""
+        rare = np.flatnonzero(c >= ALPHABET)
+        if not len(rare):
+            return self.table[state * ALPHABET + c]
+        out = self.table[state * ALPHABET + np.minimum(c, ALPHABET - 1)]
+        keys = state[:, rare].astype(np.int64) * self.size + c[rare]
+        at = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+        out[:, rare] = np.where(self.rare_keys[at] == keys, self.rare_to[at], -1)
+        return out
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """(languages, texts): phrases that each text needs."""
         segments, owner = [], []
         for i, t in enumerate(texts):
-            c = self.classes[np.minimum(np.frombuffer(t.lower().encode("utf-32-le", "replace"), np.uint32), 0xFFFF)]
+            c = self.classes[np.frombuffer(t.lower().encode("utf-32-le", "replace"), np.uint32)]
             c = c[np.concatenate([c[:1] != 1, (c[1:] != 1) | (c[:-1] != 1)])]
             for a in range(0, len(c), SEGMENT):
                 segments.append(c[a : a + SEGMENT])
@@ -101,7 +114,7 @@ class CrossParser:
             return out
         order = np.argsort([-len(s) for s in segments], kind="stable")
         sizes = np.array([len(segments[i]) for i in order])
-        lanes = np.zeros((sizes[0], len(order)), np.uint8)
+        lanes = np.zeros((sizes[0], len(order)), np.int32)
         for lane, i in enumerate(order):
             lanes[: sizes[lane], lane] = segments[i]
         root = np.array(self.roots, np.int32)[:, None]
@@ -111,10 +124,10 @@ class CrossParser:
         for t in range(sizes[0]):
             m = live[t]
             c = lanes[t, :m]
-            s = self.table[state[:, :m] * ALPHABET + c]
+            s = self._step(state[:, :m], c)
             if (miss := s < 0).any():
                 count[:, :m] += miss
-                again = self.table[root * ALPHABET + c]
+                again = self._step(np.repeat(root, m, 1), c)
                 s = np.where(miss, np.where(again < 0, root, again), s)
             state[:, :m] = s
         owner = np.array(owner)[order]
@@ -156,17 +169,20 @@ def _predict(samples: dict[str, str]):
 
 def labelled_samples(docs: DataFrame, max_docs: int, max_chars: int) -> dict[str, str]:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(crc_of_id(), F.lit(4)) != 2))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    short = (F.length("text") <= max_chars) & F.col("text").rlike(r"\p{L}")
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)), F.count_if(short)).collect()
+    counts = {lang: n or every for lang, every, n in found}
     if not counts:
         return {}
     # Keep a language's rows whose hash lies in the fraction that makes about 2 * max_docs of them.
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * max_docs / n))])
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    near = rows.where((place < share[F.col("lang")] * (1 << 30)) & (F.length("text") <= max_chars)).select("lang", place.alias("place"), "text")
+    cut = [lang for lang, _, n in found if not n]  # these have long rows alone
+    near = rows.where((place < share[F.col("lang")] * (1 << 30)) & (short | F.col("lang").isin(cut))).select("lang", place.alias("place"), F.substring("text", 1, max_chars).alias("text"))
     out: dict[str, str] = {}
     taken: Counter = Counter()
     for lang, _, text in sorted(near.collect(), key=lambda r: (r[0], r[1], r[2])):  # 2 * max_docs rows of a language or so
-        text = normalise(text)
+        text = normalise(text)[:max_chars]
         if text and taken[lang] < max_docs and len(text) + len(out.get(lang, "")) <= max_chars:
             out[lang] = f"{out[lang]} {text}" if lang in out else text
             taken[lang] += 1
