@@ -1,12 +1,10 @@
-"""Benchmark decontamination: rare word 3-grams of test items seed Smith-Waterman alignments in the documents.
+"""Benchmark decontamination: word 3-grams of test items seed Smith-Waterman alignments in the documents.
 
-Document frequencies of the items' 3-grams are counted over all documents. An item's rare 3-grams are its seeds;
-what is rare rises with the item's own frequencies, so an item that leaked widely keeps its seeds. Where a
-document has seeds of an item, the words around them are aligned with the item: match +2, mismatch -1, gap -1; the
-score is divided by that of a perfect copy. Copies with edited, dropped and added words stay above `threshold`.
+Every 3-gram of an item is a seed, however many documents hold it. Where a document has one, the words around it
+are aligned with the item if they hold enough of its words: match +2, mismatch -1, gap -1; the score is divided by
+that of a perfect copy. Copies with edited, dropped and added words stay above `threshold`.
 
-Items are taken in blocks of at most `block_items`, each held by every task; documents are read once for counting
-and once for aligning in each block.
+Items are taken in blocks of at most `block_items`, each held by every task; documents are read once in each block.
 
 Cases: null, empty and very short items (under 3 words) have no seeds and match nothing; null and empty documents
 match nothing; repeated documents or items give their rows each; ties in score go to the first place in the text; empty
@@ -37,6 +35,7 @@ class Items:
         words = [WORD.findall((t or "").lower()) for _, t in rows]
         self.vocabulary = {w: n for n, w in enumerate(sorted({w for x in words for w in x}))}
         self.words = [np.array([self.vocabulary[w] for w in x], np.int64) for x in words]
+        self.needs = [Counter(x.tolist()) for x in self.words]
         self.base = len(self.vocabulary) + 1
         self.grams = [self.codes(x) for x in self.words]
         self.all_grams = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(0, np.int64)
@@ -83,43 +82,20 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     return best / (2.0 * len(item)), *where
 
 
-def _count(items: Items):
-    def run(batches):
-        import pyarrow as pa
-
-        forget_encoders()
-        seen = np.zeros(len(items.all_grams), np.int64)
-        for batch in batches:
-            for _, _, texts in text_slices(batch):
-                for t in texts:
-                    seen[np.unique(items.places(t, items.all_grams)[2])] += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(items.all_grams[at]), pa.array(seen[at])], ["gram", "n"])
-
-    return run
-
-
-def choose_seeds(items: Items, frequency: dict[int, int], rows: int) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-    """Seeds in order and, of each, the (item, place in it) pairs.
-
-    An item's seeds are its 3-grams in at most a ten-thousandth of all documents, 20, or four times the documents
-    that its median 3-gram is in, whichever is most: copies of a leaked item raise all of its frequencies alike.
-    """
-    owners: dict[int, list[tuple[int, int]]] = {}
+def owners_of(items: Items) -> list[list[tuple[int, int]]]:
+    """Of each 3-gram in order, the (item, place in it) pairs."""
+    owners: dict[int, list[tuple[int, int]]] = {int(g): [] for g in items.all_grams}
     for i, grams in enumerate(items.grams):
-        first = {int(g): k for k, g in reversed(list(enumerate(grams))) if int(g) in frequency}
-        counts = sorted(frequency[g] for g in first)
-        most = max(20, rows // 10_000, 4 * counts[len(counts) // 2]) if counts else 0
-        for g, k in first.items():
-            if frequency[g] <= most:
-                owners.setdefault(g, []).append((i, k))
-    seeds = np.array(sorted(owners), np.int64)
-    return seeds, [owners[int(g)] for g in seeds]
+        for k, g in enumerate(grams.tolist()):
+            owners[g].append((i, k))
+    return [owners[int(g)] for g in items.all_grams]
+
 
+def _find(items: Items, threshold: float):
+    owners = owners_of(items)
 
-def _find(items: Items, seeds: np.ndarray, owners: list, threshold: float):
     def leaks(text: str):
-        numbers, places, which = items.places(text, seeds)
+        numbers, places, which = items.places(text, items.all_grams)
         starts: dict[int, list[int]] = {}
         for p, g in zip(places.tolist(), which.tolist(), strict=True):
             for i, k in owners[g]:
@@ -135,7 +111,7 @@ def _find(items: Items, seeds: np.ndarray, owners: list, threshold: float):
                     edges[-1][1] = b
                 else:
                     edges.append([a, b])
-            need = Counter(item.tolist())
+            need = items.needs[i]
             for a, b in edges:
                 window = numbers[a:b]
                 held = Counter(window.tolist())
@@ -166,14 +142,12 @@ def _find(items: Items, seeds: np.ndarray, owners: list, threshold: float):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_items: int = 5000) -> DataFrame:
     """FOUND columns: document, item, alignment score and the leaked passage's code points in the lower-cased text."""
     docs = small_batches(docs).select("doc_id", "text")
-    rows, blocks = docs.count(), max(1, -(-benchmark.count() // block_items))
+    blocks = max(1, -(-benchmark.count() // block_items))
     found = None
     for b in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         items = Items([(r[0], r[1]) for r in part.select("item_id", "text").collect()])  # a block of items
-        counted = docs.mapInArrow(_count(items), "gram long, n long").groupBy("gram").agg(F.sum("n"))
-        frequency = dict(map(tuple, counted.collect()))  # the block's 3-grams at most
-        part_found = docs.mapInArrow(_find(items, *choose_seeds(items, frequency, rows), threshold), FOUND)
+        part_found = docs.mapInArrow(_find(items, threshold), FOUND)
         found = part_found if found is None else found.unionByName(part_found)
     return found
 
