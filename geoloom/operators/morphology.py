@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+from .graph import connected_components
 from .grid import block_grid, replicate
 
 
@@ -196,9 +198,6 @@ def _labelled(set_cells: DataFrame, cols: int, rows: int, block: int, invert: bo
 
 def _merged(set_cells: DataFrame, cols: int, rows: int, block: int, invert: bool = False) -> DataFrame:
     """block_id, prow, pcol, component of all blocks: components that meet at block edges are one."""
-    from ..llm.graph import connected_components
-    from ..llm.runtime import materialise
-
     cells = materialise(_labelled(set_cells, cols, rows, block, invert), "labels")
     near = lambda c: F.col(c) % block == 0
     edges = None
