@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches, table
+from .runtime import modest_batches, table
 from .tokens import forget_encoders, text_slices
 
 WORD = re.compile(r"\w+")
@@ -141,7 +141,7 @@ def _find(items: Items, threshold: float):
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_items: int = 5000) -> DataFrame:
     """FOUND columns: document, item, alignment score and the leaked passage's code points in the lower-cased text."""
-    docs = small_batches(docs).select("doc_id", "text")
+    docs = docs.select("doc_id", "text")
     blocks = max(1, -(-benchmark.count() // block_items))
     found = None
     for b in range(blocks):
@@ -159,4 +159,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) ->
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(modest_batches(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

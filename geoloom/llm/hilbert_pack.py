@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches, table
+from .runtime import modest_batches, table
 from .tokens import encoder, text_slices
 
 DIMENSIONS, BITS, BUCKETS = 3, 10, 512
@@ -167,10 +167,10 @@ def pack_documents(docs: DataFrame, sequence_length: int = 2048, tokenizer: str
     """
     if sequence_length & (sequence_length - 1):
         raise ValueError("sequence_length must be a power of two")
-    keyed = small_batches(docs).select("doc_id", "text").mapInArrow(_add_keys, "curve long, doc_id long, text string")
+    keyed = docs.select("doc_id", "text").mapInArrow(_add_keys, "curve long, doc_id long, text string")
     ordered = keyed.repartitionByRange("curve", "doc_id", F.xxhash64("text")).sortWithinPartitions("curve", "doc_id", F.xxhash64("text"))
     return ordered.mapInArrow(_pack(tokenizer, sequence_length, with_ids), PIECE + (", ids array<int>" if with_ids else ""))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
+    return pack_documents(table(modest_batches(spark), sf_dir, "documents"), with_ids=False)

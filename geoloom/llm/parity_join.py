@@ -30,8 +30,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components
-from .runtime import materialise, release, small_batches, table
+from ..operators.graph import connected_components
+from .runtime import materialise, release, modest_batches, table
 from .tokens import forget_encoders, text_slices
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -306,7 +306,7 @@ def _links(docs: DataFrame, words: int, num: int, den: int, tile: int = 2048) ->
 
 def link_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; documents link when J >= num / den."""
-    docs = small_batches(docs).select("doc_id", "text")
+    docs = docs.select("doc_id", "text")
     sets, classes, links = _links(docs, words, num, den)
     found = connected_components(links)
     named = classes.select("n", "a", "b", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component_id"))
@@ -321,4 +321,4 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return link_documents(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    return link_documents(table(modest_batches(spark), sf_dir, "documents"), words=4, num=85, den=100)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches, table
+from .runtime import modest_batches, table
 from .tokens import forget_encoders, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -186,7 +186,7 @@ def train(patterns: dict[str, int]) -> set[str]:
 
 def fit(docs: DataFrame) -> set[str]:
     """Accepted patterns; their number is bounded by the features' values, not by the documents."""
-    rows = small_batches(docs).select("text").mapInArrow(_count_patterns, "pattern string, n long").groupBy("pattern").agg(F.sum("n")).collect()
+    rows = docs.select("text").mapInArrow(_count_patterns, "pattern string, n long").groupBy("pattern").agg(F.sum("n")).collect()
     return train(dict(map(tuple, rows)))
 
 
@@ -261,4 +261,4 @@ def mask_pii(docs: DataFrame) -> DataFrame:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return find_pii(table(spark, sf_dir, "documents"))
+    return find_pii(table(modest_batches(spark), sf_dir, "documents"))

@@ -2,66 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete, materialise, new_path, release, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark only, so any file system that Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that driver and executors share.
-
-    Only where the session names none (tests on one machine) a local folder is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="geoloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._geoloom_path = path  # for release()
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete the files behind frames from materialise() once nothing lazy reads them any more."""
-    for df in frames:
-        path = getattr(df, "_geoloom_path", None)
-        if path:
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df; its session hands whole texts to Python in Arrow batches of a few megabytes.
+def modest_batches(spark: SparkSession) -> SparkSession:
+    """The session, which now hands rows to Python in Arrow batches of a few megabytes; smaller settings stay.
 
-    A batch is held by the JVM outside its heap and by the Python worker, in both directions. Smaller settings of
-    the session stay.
+    A batch is held by the JVM outside its heap and by the Python worker, in both directions. Queries and the
+    pipeline's stages, which are applications, call this; operators leave the session as it is.
     """
-    conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
-        now = int(conf.get(key).rstrip("b"))
-        if not 0 < now <= most:
-            conf.set(key, str(most))
-    return df
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most, read in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000, int), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20, size)):
+        if not 0 < read(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+    return spark
 
 
 def text_or_empty(column: str = "text"):

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import crc_of_id, small_batches, table
+from .runtime import crc_of_id, modest_batches, table
 from .tokens import forget_encoders, text_slices
 
 #: Letters that a sign may stand for.
@@ -291,7 +291,7 @@ def _score(*model):
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> tuple[np.ndarray, float, dict[int, float]]:
     """Character costs, base score and rules; rows held out are not learnt from."""
-    docs = small_batches(docs).select("doc_id", "text")
+    docs = docs.select("doc_id", "text")
     costs = character_model(docs)
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(crc_of_id(), F.lit(5)) != 0))
@@ -309,7 +309,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 8000) ->
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = score_toxicity(table(modest_batches(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (F.pmod(crc_of_id(), F.lit(5)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
