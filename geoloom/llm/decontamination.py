@@ -1,18 +1,25 @@
-"""Benchmark decontamination: word 3-grams of test items seed Smith-Waterman alignments in the documents.
+"""Benchmark decontamination: rare word pairs of test items seed Smith-Waterman alignments in the documents.
 
-Every 3-gram of an item is a seed, however many documents hold it. Where a document has one, the words around it
-are aligned with the item if they hold enough of its words: match +2, mismatch -1, gap -1; the score is divided by
-that of a perfect copy. Copies with edited, dropped and added words stay above `threshold`.
+An alignment's score (match +2, mismatch -1, gap -1) is divided by that of a perfect copy; copies with edited,
+dropped and added words stay above `threshold`. An alignment must also be worth `least` words, or the whole item.
 
-Items are taken in blocks of at most `block_items`, each held by every task; documents are read once in each block.
+Seeds are gapped 2-grams: two words at most two apart in the item, found at most two apart in the text. Of two words
+matched one after the other, a larger distance costs 2 or more, so an alignment that reaches the threshold t on an
+item of n words holds at least t * n - 1 such pairs, whatever was edited. Pairs are counted over all documents, and
+the commonest of an item, but fewer than that number, are left out: the rare ones left still meet every copy. A
+document with a rare pair is aligned where that many pairs of the item, rare or not, lie as close as a copy's.
 
-Cases: null, empty and very short items (under 3 words) have no seeds and match nothing; null and empty documents
-match nothing; repeated documents or items give their rows each; ties in score go to the first place in the text; empty
-tables give empty results; further columns are not carried by find_leaks and kept by drop_leaks.
+Items are taken in blocks of about `block_items` and `block_bytes` of text, each held by every task; documents are read twice a block.
+
+Cases: null, empty and one-word items have no seeds and match nothing; null and empty documents match nothing; very
+long documents are aligned around their seeds only; repeated documents or items give their rows each; ties in score
+go to the first place in the text; empty tables give empty results; further columns are not carried by find_leaks and
+kept by drop_leaks, which judges each row by its own text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -28,35 +35,56 @@ FOUND = "doc_id long, item_id long, score double, start int, end int"
 
 
 class Items:
-    """A block of items: their words' numbers and 3-grams."""
+    """A block of items: their words' numbers, and which of them hold which word pairs."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], threshold: float, least: int):
         self.ids = [i for i, _ in rows]
         words = [WORD.findall((t or "").lower()) for _, t in rows]
         self.vocabulary = {w: n for n, w in enumerate(sorted({w for x in words for w in x}))}
         self.words = [np.array([self.vocabulary[w] for w in x], np.int64) for x in words]
         self.needs = [Counter(x.tolist()) for x in self.words]
+        self.thresholds = [max(threshold, min(len(x), least) / max(1, len(x))) for x in self.words]
+        #: Pairs that an alignment at the threshold holds at least.
+        self.least = [max(0, math.ceil(t * len(x) - 1 - 1e-9)) for x, t in zip(self.words, self.thresholds, strict=True)]
         self.base = len(self.vocabulary) + 1
-        self.grams = [self.codes(x) for x in self.words]
-        self.all_grams = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(0, np.int64)
-
-    def codes(self, numbers: np.ndarray) -> np.ndarray:
-        if len(numbers) < 3:
-            return np.zeros(0, np.int64)
-        return (numbers[:-2] * self.base + numbers[1:-1]) * self.base + numbers[2:]
-
-    def places(self, text: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers of text (-1: not in any item), places of wanted 3-grams, and which these are."""
+        self.pairs = [self.codes(x)[0] if k else np.zeros(0, np.int64) for x, k in zip(self.words, self.least, strict=True)]
+        self.all_pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *self.pairs]))
+        self.held = [np.unique(np.searchsorted(self.all_pairs, x)) for x in self.pairs]
+        self.seeds: dict[int, list[int]] = {}
+
+    def codes(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the pairs of known words at most two apart, and the places of their first words."""
+        found, at = [], []
+        for gap in (1, 2):
+            full = np.flatnonzero((numbers[:-gap] >= 0) & (numbers[gap:] >= 0))
+            found.append(numbers[full] * self.base + numbers[full + gap])
+            at.append(full)
+        return np.concatenate(found), np.concatenate(at)
+
+    def places(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers of text (-1: not in any item), places of items' pairs, and which these are."""
         get = self.vocabulary.get
         numbers = np.array([get(w, -1) for w in WORD.findall(text.lower())], np.int64)
-        if len(numbers) < 3:
-            return numbers, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        full = np.flatnonzero((numbers[:-2] >= 0) & (numbers[1:-1] >= 0) & (numbers[2:] >= 0))
-        codes = (numbers[full] * self.base + numbers[full + 1]) * self.base + numbers[full + 2]
-        at = np.searchsorted(wanted, codes)
-        hit = at < len(wanted)
-        hit[hit] = wanted[at[hit]] == codes[hit]
-        return numbers, full[hit], at[hit]
+        codes, places = self.codes(numbers)
+        at = np.searchsorted(self.all_pairs, codes)
+        hit = at < len(self.all_pairs)
+        hit[hit] = self.all_pairs[at[hit]] == codes[hit]
+        return numbers, places[hit], at[hit]
+
+    def choose_seeds(self, documents: dict[int, int]) -> None:
+        """documents: in how many each pair is. Of an item's places fewer than an alignment's least are left out."""
+        self.seeds = {}
+        for i, pairs in enumerate(self.pairs):
+            times = Counter(np.searchsorted(self.all_pairs, pairs).tolist())
+            spare = self.least[i] - 1
+            for pair in sorted(times, key=lambda p: (-documents.get(p, 0), p)):
+                if spare >= times[pair]:
+                    spare -= times[pair]
+                else:
+                    spare = -1  # from here on all are rare enough
+                    self.seeds.setdefault(pair, []).append(i)
+        self.is_seed = np.zeros(len(self.all_pairs), bool)
+        self.is_seed[list(self.seeds)] = True
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
@@ -82,48 +110,52 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     return best / (2.0 * len(item)), *where
 
 
-def owners_of(items: Items) -> list[list[tuple[int, int]]]:
-    """Of each 3-gram in order, the (item, place in it) pairs."""
-    owners: dict[int, list[tuple[int, int]]] = {int(g): [] for g in items.all_grams}
-    for i, grams in enumerate(items.grams):
-        for k, g in enumerate(grams.tolist()):
-            owners[g].append((i, k))
-    return [owners[int(g)] for g in items.all_grams]
-
-
-def _find(items: Items, threshold: float):
-    owners = owners_of(items)
-
-    def leaks(text: str):
-        numbers, places, which = items.places(text, items.all_grams)
-        starts: dict[int, list[int]] = {}
-        for p, g in zip(places.tolist(), which.tolist(), strict=True):
-            for i, k in owners[g]:
-                starts.setdefault(i, []).append(p - k)
-        spans = None
-        for i in sorted(starts):
-            item, best = items.words[i], (0.0, 0, 0)
-            slack = len(item) // 3 + 2
-            edges: list[list[int]] = []
-            for s in sorted(set(starts[i])):
-                a, b = max(0, s - slack), min(len(numbers), s + len(item) + slack)
-                if edges and a <= edges[-1][1] and b - edges[-1][0] <= 8 * len(item):
-                    edges[-1][1] = b
-                else:
-                    edges.append([a, b])
-            need = items.needs[i]
-            for a, b in edges:
-                window = numbers[a:b]
-                held = Counter(window.tolist())
-                if sum(min(n, held[w]) for w, n in need.items()) < threshold * len(item):
-                    continue  # too few of the item's words to reach the threshold
-                score, x, y = align(item, window)
-                if score > best[0]:
-                    best = (score, a + x, a + y)
-            if best[0] >= threshold:
-                spans = spans or [m.span() for m in WORD.finditer(text.lower())]
-                yield i, best[0], spans[best[1]][0], spans[best[2] - 1][1]
+def leaks(items: Items, text: str):
+    """(item, score, first and last + 1 code point) of the items that text holds a copy of."""
+    numbers, places, which = items.places(text)
+    spans = None
+    for i in sorted({i for p in np.unique(which[items.is_seed[which]]).tolist() for i in items.seeds[p]}):
+        item, need, threshold, best = items.words[i], items.least[i], items.thresholds[i], (0.0, 0, 0)
+        at = np.sort(places[np.isin(which, items.held[i])])
+        span = int((3 - 2 * threshold) * len(item)) + 2  # of a copy's words at most
+        first = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] <= span) if len(at) >= need else []
+        edges: list[list[int]] = []
+        for k in first:
+            a, b = max(0, int(at[k + need - 1]) - span), min(len(numbers), int(at[k]) + span + 1)
+            if edges and a <= edges[-1][1] and b - edges[-1][0] <= 8 * span:
+                edges[-1][1] = b
+            else:
+                edges.append([a, b])
+        for a, b in edges:
+            window = numbers[a:b]
+            held = Counter(window.tolist())
+            if sum(min(n, held[w]) for w, n in items.needs[i].items()) < threshold * len(item):
+                continue  # too few of the item's words to reach the threshold
+            score, x, y = align(item, window)
+            if score > best[0]:
+                best = (score, a + x, a + y)
+        if best[0] >= threshold:
+            spans = spans or [m.span() for m in WORD.finditer(text.lower())]
+            yield i, best[0], spans[best[1]][0], spans[best[2] - 1][1]
+
+
+def _count(items: Items):
+    def run(batches):
+        import pyarrow as pa
+
+        forget_encoders()
+        total = np.zeros(len(items.all_pairs), np.int64)
+        for batch in batches:
+            for _, _, texts in text_slices(batch):
+                for t in texts:
+                    total[np.unique(items.places(t)[2])] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+
+    return run
+
 
+def _find(items: Items):
     def run(batches):
         import pyarrow as pa
 
@@ -131,7 +163,7 @@ def _find(items: Items, threshold: float):
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for first, last, texts in text_slices(batch):
-                rows = [(d, items.ids[i], *rest) for d, t in zip(ids.slice(first, last - first).to_pylist(), texts, strict=True) for i, *rest in leaks(t)]
+                rows = [(d, items.ids[i], *rest) for d, t in zip(ids.slice(first, last - first).to_pylist(), texts, strict=True) for i, *rest in leaks(items, t)]
                 if rows:
                     d, i, s, a, b = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc_id", "item_id", "score", "start", "end"])
@@ -139,23 +171,45 @@ def _find(items: Items, threshold: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_items: int = 5000) -> DataFrame:
-    """FOUND columns: document, item, alignment score and the leaked passage's code points in the lower-cased text."""
-    docs = docs.select("doc_id", "text")
-    blocks = max(1, -(-benchmark.count() // block_items))
-    found = None
+def _keep(items: Items):
+    def run(batches):
+        import pyarrow as pa
+
+        forget_encoders()
+        for batch in batches:
+            keep = [next(leaks(items, t), None) is None for _, _, texts in text_slices(batch) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, threshold: float, least: int, block_items: int, block_bytes: int):
+    """Blocks of items with their seeds."""
+    many, size = benchmark.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-many // block_items), -(-size // block_bytes))
     for b in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        items = Items([(r[0], r[1]) for r in part.select("item_id", "text").collect()])  # a block of items
-        part_found = docs.mapInArrow(_find(items, threshold), FOUND)
-        found = part_found if found is None else found.unionByName(part_found)
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
+        items = Items([(r[0], r[1]) for r in part.select("item_id", "text").collect()], threshold, least)  # a block of items
+        counts = docs.select("text").mapInArrow(_count(items), "pair long, n long").groupBy("pair").agg(F.sum("n"))
+        items.choose_seeds(dict(map(tuple, counts.collect())))  # at most two for each word of the block
+        yield items
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least: int = 6, block_items: int = 100_000, block_bytes: int = 32 << 20) -> DataFrame:
+    """FOUND columns: document, item, alignment score and the leaked passage's code points in the lower-cased text."""
+    docs, found = docs.select("doc_id", "text"), None
+    for items in _blocks(docs, benchmark, threshold, least, block_items, block_bytes):
+        part = docs.mapInArrow(_find(items), FOUND)
+        found = part if found is None else found.unionByName(part)
     return found
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that hold no copy of an item, with all their columns."""
-    hit = find_leaks(docs, benchmark, threshold).select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least: int = 6, block_items: int = 100_000, block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs whose text holds no copy of an item, with all their columns."""
+    kept = docs
+    for items in _blocks(docs, benchmark, threshold, least, block_items, block_bytes):
+        kept = kept.mapInArrow(_keep(items), docs.schema)
+    return kept
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
