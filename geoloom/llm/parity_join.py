@@ -16,10 +16,15 @@ slack for them, and only sets with more empty blocks than the slack are also joi
    and verified: first the nearest for each member and component, then all that are left. A pair that shares a
    parity word lies in one star, so no link between components is lost.
 
+Rows are written once into the shared folder with a number of their own; everything else goes by that number and by
+classes, never by doc_id. So rows may repeat, doc_ids may repeat with other texts or be null.
+
 Cases: null, empty and wordless texts have no shingles and link with nothing; texts with fewer words than a shingle
-are one shingle; repeated rows are one class and each get a row; null doc_ids take part and get a component of their
-class or null; an empty table gives an empty result; further columns are not carried by link_documents and kept by
-drop_near_duplicates.
+are one shingle; very long texts are whole sets, their sketches exclude fewer pairs; a similarity equal to the bound
+links; repeated rows are one class and each get a row; null doc_ids take part, and a component without any other id
+has a null id; of rows with a component's smallest doc_id drop_near_duplicates keeps one, and every row without
+shingles; an empty table gives an empty result; further columns, of any name, are not carried by link_documents and
+kept by drop_near_duplicates.
 """
 
 from __future__ import annotations
@@ -27,11 +32,11 @@ from __future__ import annotations
 import bisect
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .runtime import materialise, release, modest_batches, table
+from .runtime import materialise, modest_batches, release, table
 from .tokens import forget_encoders, text_slices
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -144,21 +149,22 @@ def _folded(long: str, short: str):
 
 
 def _sets(words: int):
-    """(doc_id, size, two hashes of the set, sketch) of every document."""
+    """(row, size, two hashes of the set, sketch) of every document; row holds doc_id and text."""
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         forget_encoders()
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            for first, last, texts in text_slices(batch):
+            rows = batch.column(0)
+            texts_only = pa.RecordBatch.from_arrays([pc.struct_field(rows, "text")], ["text"])
+            for first, last, texts in text_slices(texts_only):
                 found = [shingles(t, words) for t in texts]
                 a = [int(np.bitwise_xor.reduce(h)) if len(h) else 0 for h in found]
                 b = [int(_mix(h + _M[6]).sum(dtype=np.uint64)) if len(h) else 0 for h in found]
                 hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
-                sketches = _lists([sketch(h) for h in found])
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array([len(h) for h in found], pa.int64()), *hashes, sketches], ["doc_id", "n", "a", "b", "sketch"])
+                yield pa.RecordBatch.from_arrays([rows.slice(first, last - first), pa.array([len(h) for h in found], pa.int64()), *hashes, _lists([sketch(h) for h in found])], ["row", "n", "a", "b", "sketch"])
 
     return run
 
@@ -184,34 +190,50 @@ def _lists(rows: list[np.ndarray]):
 
 
 def _verify(words: int, num: int, den: int):
-    def run(key, left, right):
-        import pandas as pd
+    """Rows (hub, part, v, text) in order: of each hub and part the hub's own text, without v, and then its partners."""
 
-        out = []
-        if len(left):
-            u, text = left["hub"].iloc[0], left["hub_text"].iloc[0]
-            one = shingles(text or "", words)
-            for v, t in zip(right["v"], right["text"], strict=True):
-                two = shingles(t or "", words)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                if den * both >= num * (len(one) + len(two) - both):
-                    out.append((u, v))
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+    def run(batches):
+        import pyarrow as pa
+
+        forget_encoders()
+        key, one = None, None
+        for batch in batches:
+            hubs, parts, partners = (batch.column(k).to_pylist() for k in range(3))
+            out = []
+            for first, last, texts in text_slices(batch):
+                for u, c, v, t in zip(hubs[first:last], parts[first:last], partners[first:last], texts, strict=True):
+                    two = shingles(t, words)
+                    if v is None:
+                        key, one = (u, c), two
+                    elif key == (u, c):
+                        both = len(np.intersect1d(one, two, assume_unique=True))
+                        if den * both >= num * (len(one) + len(two) - both):
+                            out.append((u, v))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["u", "v"])
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int, chunk: int = 128) -> DataFrame:
-    """The pairs (u, v) of doc_ids whose texts link. Of each u, `chunk` partners or so are compared in one task."""
-    counts = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("many"))
-    dealt = materialise(pairs.join(counts, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("many") / chunk)).alias("c")), "pairs")
-    ids = materialise(dealt.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
-    held = _keep_matching(docs, ids, "left_semi")
-    hubs = dealt.select(F.col("u").alias("hub"), F.col("c").alias("part")).distinct()
-    left = hubs.join(held.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text")), "hub").select("hub", "part", "hub_text")
-    right = dealt.join(held.select(F.col("doc_id").alias("v"), F.col("text").alias("text")), "v").select("u", "c", "v", "text")
-    out = materialise(left.groupBy("hub", "part").cogroup(right.groupBy("u", "c")).applyInPandas(_verify(words, num, den), "u long, v long"), "links")
-    release(dealt, ids)
+def verified(pairs: DataFrame, rows: DataFrame, words: int, num: int, den: int, chunk: int = 200_000, task: int = 2_000_000) -> DataFrame:
+    """The pairs (u, v) of row numbers whose texts link. pairs: u, v, n (shingles of v); rows: rid, row.
+
+    The partners of each u are dealt over parts of `chunk` shingles or so, and these over tasks of `task`; a task
+    reads its rows one after the other.
+    """
+    pairs = materialise(pairs.select("u", "v", "n"), "pairs")
+    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    work = materialise(pairs.groupBy("u").agg(F.sum("n").alias("work")), "work")
+    parts = F.ceil(F.col("work") / chunk)
+    dealt = materialise(pairs.join(work, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.greatest(parts, F.lit(1))).alias("c")), "dealt")
+    ids = materialise(dealt.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), "ids")
+    held = _keep_matching(rows.select("rid", F.col("row.text").alias("text")), ids, "left_semi")
+    hubs = dealt.select("u", "c").distinct()
+    left = hubs.join(held.withColumnRenamed("rid", "u"), "u").select("u", "c", F.lit(None).cast("long").alias("v"), "text")
+    right = dealt.join(held.withColumnRenamed("rid", "v"), "v").select("u", "c", "v", "text")
+    ordered = left.unionByName(right).repartition(max(1, -(-total // task)), "u", "c").sortWithinPartitions("u", "c", F.col("v").asc_nulls_first())
+    out = materialise(ordered.mapInArrow(_verify(words, num, den), "u long, v long"), "links")
+    release(pairs, work, dealt, ids)
     return out
 
 
@@ -248,76 +270,106 @@ def _crossing(most_num: int, most_den: int, num: int, den: int, nearest: bool):
                 best = at[order]
                 best = best[np.r_[True, comp[1][best][1:] != comp[1][best][:-1]]]
                 left_over, at = int(len(best) < len(at)), best
-            found += [(min(ids[0][r], y), max(ids[0][r], y), key[0], left_over) for y in ids[1][at]]
-        return pd.DataFrame(found, columns=["u", "v", "hub", "left_over"], dtype="int64")
+            found += [(min(ids[0][r], y), max(ids[0][r], y), key[0], left_over, n[1][k] if ids[0][r] < y else n[0][r]) for k, y in zip(at, ids[1][at], strict=True)]
+        return pd.DataFrame(found, columns=["u", "v", "hub", "left_over", "n"], dtype="int64")
 
     return run
 
 
-def _keep_matching(rows: DataFrame, ids: DataFrame, how: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+def _keep_matching(rows: DataFrame, ids: DataFrame, how: str, key: str = "rid", broadcast_rows: int = 1_000_000) -> DataFrame:
     """Semi- or anti-join with ids, which are sent to all executors only if they are few; else both are shuffled."""
-    return rows.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", how)
+    return rows.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, key, how)
+
+
+def _stars(own: DataFrame, words: int, bands: Bands) -> DataFrame:
+    """(hub, x): representatives that share a parity word with a smaller one, which is the least of that word's."""
+    keyed = materialise(own.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text")).mapInArrow(_keys(words, bands), "rep long, keys array<long>"), "keys")
+    each = keyed.select("rep", F.explode("keys").alias("key"))
+    # Aggregated before the join: a word that very many sets share is one row of each task, and its join can be split.
+    shared = materialise(each.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "hub"), "shared")
+    few = shared.count() <= 1_000_000
+    out = materialise(each.join(F.broadcast(shared) if few else shared, "key").where("rep <> hub").select("hub", F.col("rep").alias("x")).distinct(), "stars")
+    release(keyed, shared)
+    return out
 
 
 def _links(docs: DataFrame, words: int, num: int, den: int, tile: int = 2048) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, a, b) of each row, (n, a, b, rep) of each class, and links that make the components of representatives."""
+    """Rows (rid, row, n, a, b), classes (n, a, b, rep, low: smallest doc_id) and components (node, component) of reps."""
     bands = Bands(num, den)
     most_num, most_den = den - num, den + num  # |A xor B| <= (|A| + |B|) (1 - t) / (1 + t)
-    sets = materialise(docs.mapInArrow(_sets(words), "doc_id long, n long, a long, b long, sketch array<long>"), "sets")
-    least = F.min(F.struct("doc_id", "sketch"))
-    lite = materialise(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(least.alias("r")).select("n", "a", "b", F.col("r.doc_id").alias("rep"), "r.sketch"), "classes")
-    copies = materialise(sets.select("doc_id", "n", "a", "b").join(lite.select("n", "a", "b", "rep"), ["n", "a", "b"]).where("doc_id <> rep").select("doc_id").distinct(), "copies")
-    own = _keep_matching(docs.where("doc_id IS NOT NULL"), copies, "left_anti")
-    shared = Window.partitionBy("key")
-    keyed = own.mapInArrow(_keys(words, bands), "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
-    stars = materialise(
-        keyed.select("rep", F.min("rep").over(shared).alias("hub")).where("rep <> hub").select("hub", F.col("rep").alias("x")).distinct(), "stars"
-    )
-    sized = lite.select("rep", "n", "sketch")
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    sets = packed.mapInArrow(_sets(words), f"row {packed.schema['row'].dataType.simpleString()}, n long, a long, b long, sketch array<long>")
+    rows = materialise(sets.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    classes = materialise(rows.where("n > 0").groupBy("n", "a", "b").agg(F.min("rid").alias("rep"), F.min("row.doc_id").alias("low")), "classes")
+    copies = materialise(rows.where("n > 0").select("rid", "n", "a", "b").join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"]).where("rid <> rep").select("rid"), "copies")
+    own = _keep_matching(rows.where("n > 0"), copies, "left_anti")
+    sized = materialise(own.select(F.col("rid").alias("rep"), "n", "sketch"), "sized")
+    stars = _stars(own, words, bands)
     apart = F.aggregate(F.zip_with(_folded("hub_sketch", "sketch"), _folded("sketch", "hub_sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
     small, large = F.least("hub_n", "n"), F.greatest("hub_n", "n")
     first = (
         stars.join(sized.withColumnRenamed("rep", "x"), "x")
         .join(sized.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch")), "hub")
         .where((den * small >= num * large) & (apart * most_den <= (small + large) * most_num))
-        .select(F.col("hub").alias("u"), F.col("x").alias("v"))
+        .select(F.col("hub").alias("u"), F.col("x").alias("v"), "n")
     )
-    links, again = verified(first, docs, words, num, den), None
+    links, again = verified(first, rows, words, num, den), None
     for nearest in (True, False):
-        found = connected_components(links)
-        groups = stars if again is None else stars.join(again, "hub", "left_semi")
+        found = materialise(connected_components(links), "components")
+        groups = stars if again is None else stars.join(F.broadcast(again) if again.count() <= 1_000_000 else again, "hub", "left_semi")
         members = groups.select("hub", "x").unionByName(groups.select("hub", F.col("hub").alias("x")).distinct())
-        placed = members.join(found.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-        mixed = placed.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high")
-        tiles = F.ceil(F.col("many") / tile).cast("int")
-        rows = placed.join(mixed.select("hub", tiles.alias("tiles")), "hub").join(sized.withColumnRenamed("rep", "x"), "x")
-        rows = rows.withColumn("tile", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        rows = rows.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
-        crossing = rows.groupBy("hub", "i", "j").applyInPandas(_crossing(most_num, most_den, num, den, nearest), "u long, v long, hub long, left_over long")
+        placed = materialise(members.join(found.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x")), "placed")
+        counted = placed.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high")
+        mixed = materialise(counted.select("hub", F.ceil(F.col("many") / tile).cast("int").alias("tiles")), "mixed")
+        held = placed.join(F.broadcast(mixed) if mixed.count() <= 1_000_000 else mixed, "hub").join(sized.withColumnRenamed("rep", "x"), "x")
+        tiled = held.withColumn("tile", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        tiled = tiled.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
+        crossing = tiled.groupBy("hub", "i", "j").applyInPandas(_crossing(most_num, most_den, num, den, nearest), "u long, v long, hub long, left_over long, n long")
         more = materialise(crossing.distinct(), "crossing")
+        release(placed, mixed)
         if more.isEmpty():
+            release(more)
             break
-        links = materialise(links.unionByName(verified(more.select("u", "v").distinct(), docs, words, num, den)), "links")
-        again = more.where("left_over = 1").select("hub").distinct()  # stars of which not all pairs were tried
+        fresh = verified(more.select("u", "v", "n").distinct(), rows, words, num, den)
+        both = materialise(links.unionByName(fresh), "links")
+        release(links, fresh, found)
+        links, found = both, None
+        again = materialise(more.where("left_over = 1").select("hub").distinct(), "again")  # stars of which not all pairs were tried
+        release(more)
         if again.isEmpty():
             break
-    return sets.select("doc_id", "n", "a", "b"), lite, links
+    components = found if found is not None else materialise(connected_components(links), "components")
+    release(copies, sized, stars, links)
+    return rows, classes, components
+
+
+def _named(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """Rows; classes (n, a, b) with the root and the smallest doc_id of their component; tables to let go of later."""
+    rows, classes, components = _links(docs, words, num, den)
+    rooted = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", "low", F.coalesce("component", "rep").alias("root"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rows, materialise(rooted.drop("low").join(lows, "root"), "named"), (classes, components)
 
 
 def link_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; documents link when J >= num / den."""
-    docs = docs.select("doc_id", "text")
-    sets, classes, links = _links(docs, words, num, den)
-    found = connected_components(links)
-    named = classes.select("n", "a", "b", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component_id"))
-    joined = sets.join(named, ["n", "a", "b"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows, named, held = _named(docs.select("doc_id", "text"), words, num, den)
+    joined = rows.select("row.doc_id", "n", "a", "b").join(named, ["n", "a", "b"], "left")
+    out = materialise(joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "linked")
+    release(rows, named, *held)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of docs with the smallest doc_id of each component, with all their columns."""
-    linked = link_documents(docs, words, num, den).where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(linked, "doc_id", "left_anti")
+    """One row of docs with the smallest doc_id of each component, with all columns; it reads a table of the shared folder."""
+    rows, named, held = _named(docs, words, num, den)
+    placed = rows.where("n > 0").select("rid", "row.doc_id", "n", "a", "b").join(named, ["n", "a", "b"]).select("rid", "root", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("least"))
+    winners = placed.where("least").groupBy("root").agg(F.min("rid").alias("winner"))
+    lost = materialise(placed.join(winners, "root").where("rid <> winner").select("rid"), "lost")
+    release(named, *held)
+    out = _keep_matching(rows, lost, "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    out._geoloom_path = rows._geoloom_path
+    return out
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
