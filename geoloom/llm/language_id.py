@@ -1,14 +1,14 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text is built. A document is parsed greedily into the longest
-phrases that occur in that text; the language needing fewest phrases for each character wins. Every document is
-cut into pieces of SEGMENT characters, which are parsed side by side by NumPy: a new phrase begins at each cut.
+phrases that occur in that text; the language needing fewest phrases wins. NumPy parses all documents side by side,
+and long ones in segments of SEGMENT characters, whose parses are then joined into that of the whole text.
 
 The labelled text is that of at most `max_docs` rows of each language (those with the smallest hash of doc_id and
 text), whole rows while they fit into `max_chars` characters; of a language with longer rows alone, the beginnings of
 these. Every letter of the samples counts: the ALPHABET commonest have dense tables, others are searched.
 
-Cases: null, empty and letterless texts are `und` with score 0; null labels are not learnt from; without labelled
+Cases: very long texts are parsed whole; null, empty and letterless texts are `und` with score 0; null labels are not learnt from; without labelled
 rows all is `und`; equal phrase counts go to the language first in order; repeated rows each get a row; an empty
 table gives an empty result; further columns are not carried.
 """
@@ -100,6 +100,14 @@ class CrossParser:
         out[:, rare] = np.where(self.rare_keys[at] == keys, self.rare_to[at], -1)
         return out
 
+    def _advance(self, state: np.ndarray, c: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after classes c, and where a new phrase begins."""
+        s = self._step(state, c)
+        if (miss := s < 0).any():
+            again = self._step(np.broadcast_to(root, s.shape), c)
+            s = np.where(miss, np.where(again < 0, root, again), s)
+        return s, miss
+
     def phrases(self, texts: list[str]) -> np.ndarray:
         """(languages, texts): phrases that each text needs."""
         segments, owner = [], []
@@ -117,24 +125,47 @@ class CrossParser:
         lanes = np.zeros((sizes[0], len(order)), np.int32)
         for lane, i in enumerate(order):
             lanes[: sizes[lane], lane] = segments[i]
+        owner = np.array(owner)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        follows = np.full(len(order), -1)  # lane of the segment after a lane's, in the same text
+        more = np.flatnonzero(owner[1:] == owner[:-1])
+        follows[place[more]] = place[more + 1]
         root = np.array(self.roots, np.int32)[:, None]
         state = np.repeat(root, len(order), 1)
-        count = np.ones((len(root), len(order)), np.int64)
+        begins = np.zeros((sizes[0], len(root), len(order)), bool)
         live = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
         for t in range(sizes[0]):
             m = live[t]
-            c = lanes[t, :m]
-            s = self._step(state[:, :m], c)
-            if (miss := s < 0).any():
-                count[:, :m] += miss
-                again = self._step(np.repeat(root, m, 1), c)
-                s = np.where(miss, np.where(again < 0, root, again), s)
-            state[:, :m] = s
-        owner = np.array(owner)[order]
-        for k in range(len(root)):
-            out[k] = np.bincount(owner, weights=count[k], minlength=len(texts)).astype(np.int64)
+            state[:, :m], begins[t, :, :m] = self._advance(state[:, :m], lanes[t, :m], root)
+        firsts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        out[:, owner[firsts]] = 1 + begins[:, :, place[firsts]].sum(0)
+        self._join(out, owner[firsts], place[firsts], follows, sizes, lanes, state, begins)
         return out
 
+    def _join(self, out, texts, first, follows, sizes, lanes, state, begins) -> None:
+        """Adds to out the phrases of each text's later segments. A text's parse goes on beyond a segment's end until
+        it begins a phrase where the next segment's own parse began one: from there on both are the same."""
+        k, lane = (x.ravel() for x in np.meshgrid(np.arange(len(out)), first, indexing="ij"))
+        text = np.tile(texts, len(out))
+        at, now = follows[lane], state[k, lane]
+        keep = at >= 0
+        k, text, at, now, t = k[keep], text[keep], at[keep], now[keep], np.zeros(keep.sum(), np.int64)
+        root = np.array(self.roots, np.int32)
+        while len(k):
+            now, miss = (x[0] for x in self._advance(now[None], lanes[t, at], root[k][None]))
+            np.add.at(out, (k[miss], text[miss]), 1)
+            met = miss & begins[t, k, at]
+            for j in np.flatnonzero(met):
+                out[k[j], text[j]] += int(begins[t[j] + 1 : sizes[at[j]], k[j], at[j]].sum())
+                now[j] = state[k[j], at[j]]
+            t = np.where(met, 0, t + 1)
+            over = met | (t == sizes[at])
+            at, t = np.where(over, follows[at], at), np.where(over, 0, t)
+            if (at < 0).any():
+                keep = at >= 0
+                k, text, at, now, t = k[keep], text[keep], at[keep], now[keep], t[keep]
+
 
 _PARSERS: dict[int, CrossParser] = {}
 
@@ -151,7 +182,7 @@ def _predict(samples: dict[str, str]):
         parser = _PARSERS[key]
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            for first, last, texts in text_slices(batch, rows=2048):
+            for first, last, texts in text_slices(batch, rows=2048, chars=1_000_000):
                 phrases = parser.phrases(texts)
                 best, phrases = (phrases.argmin(0), np.sort(phrases, 0)) if parser.languages else (None, None)
                 names, scores = [], []
@@ -178,7 +209,7 @@ def labelled_samples(docs: DataFrame, max_docs: int, max_chars: int) -> dict[str
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * max_docs / n))])
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     cut = [lang for lang, _, n in found if not n]  # these have long rows alone
-    near = rows.where((place < share[F.col("lang")] * (1 << 30)) & (short | F.col("lang").isin(cut))).select("lang", place.alias("place"), F.substring("text", 1, max_chars).alias("text"))
+    near = rows.where((place < share[F.col("lang")] * (1 << 30)) & (short | F.col("lang").isin(cut))).select("lang", place.alias("place"), F.substring("text", 1, max_chars).alias("text")).dropDuplicates(["lang", "place"])  # repeated rows are one
     out: dict[str, str] = {}
     taken: Counter = Counter()
     for lang, _, text in sorted(near.collect(), key=lambda r: (r[0], r[1], r[2])):  # 2 * max_docs rows of a language or so
