@@ -223,7 +223,7 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, num: int, den: int,
     """
     pairs = materialise(pairs.select("u", "v", "n"), "pairs")
     total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    work = materialise(pairs.groupBy("u").agg(F.sum("n").alias("work")), "work")
+    work = pairs.groupBy("u").agg(F.sum("n").alias("work"))
     parts = F.ceil(F.col("work") / chunk)
     dealt = materialise(pairs.join(work, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.greatest(parts, F.lit(1))).alias("c")), "dealt")
     ids = materialise(dealt.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), "ids")
@@ -233,7 +233,7 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, num: int, den: int,
     right = dealt.join(held.withColumnRenamed("rid", "v"), "v").select("u", "c", "v", "text")
     ordered = left.unionByName(right).repartition(max(1, -(-total // task)), "u", "c").sortWithinPartitions("u", "c", F.col("v").asc_nulls_first())
     out = materialise(ordered.mapInArrow(_verify(words, num, den), "u long, v long"), "links")
-    release(pairs, work, dealt, ids)
+    release(pairs, dealt, ids)
     return out
 
 
