@@ -6,12 +6,12 @@ dropped and added words stay above `threshold`. An alignment must also be worth
 Seeds are gapped 2-grams: two words at most two apart in the item, found at most two apart in the text. Of two words
 matched one after the other, a larger distance costs 2 or more, so an alignment that reaches the threshold t on an
 item of n words holds at least t * n - 1 such pairs, whatever was edited. Pairs are counted over all documents, and
-the commonest of an item, but fewer than that number, are left out: the rare ones left still meet every copy. A
-document with a rare pair is aligned where that many pairs of the item, rare or not, lie as close as a copy's.
+the commonest of an item, all but RARE of that number, are left out: every copy still holds RARE of the rest. A
+document is aligned where so many seeds of an item lie as close as a copy's words.
 
 Items are taken in blocks of about `block_items` and `block_bytes` of text, each held by every task; documents are read twice a block.
 
-Cases: null, empty and one-word items have no seeds and match nothing; null and empty documents match nothing; very
+Cases: null, empty and very short items (under 3 words) have no seeds and match nothing; null and empty documents match nothing; very
 long documents are aligned around their seeds only; repeated documents or items give their rows each; ties in score
 go to the first place in the text; empty tables give empty results; further columns are not carried by find_leaks and
 kept by drop_leaks, which judges each row by its own text.
@@ -31,6 +31,10 @@ from .runtime import modest_batches, table
 from .tokens import forget_encoders, text_slices
 
 WORD = re.compile(r"\w+")
+#: Latin-1 letters, digits and _ in lower case, all else a blank: what WORD finds in the lower-cased text, by bytes.
+_LATIN = bytes(ord(chr(c).lower()) if WORD.fullmatch(chr(c)) else 32 for c in range(256))
+#: Seeds that a passage must hold, where an alignment at the threshold has as many pairs.
+RARE = 4
 FOUND = "doc_id long, item_id long, score double, start int, end int"
 
 
@@ -41,16 +45,15 @@ class Items:
         self.ids = [i for i, _ in rows]
         words = [WORD.findall((t or "").lower()) for _, t in rows]
         self.vocabulary = {w: n for n, w in enumerate(sorted({w for x in words for w in x}))}
+        self.latin = {w.encode("latin-1"): n for w, n in self.vocabulary.items() if all(ord(c) < 256 for c in w)}
         self.words = [np.array([self.vocabulary[w] for w in x], np.int64) for x in words]
         self.needs = [Counter(x.tolist()) for x in self.words]
         self.thresholds = [max(threshold, min(len(x), least) / max(1, len(x))) for x in self.words]
         #: Pairs that an alignment at the threshold holds at least.
-        self.least = [max(0, math.ceil(t * len(x) - 1 - 1e-9)) for x, t in zip(self.words, self.thresholds, strict=True)]
+        self.least = [math.ceil(t * len(x) - 1 - 1e-9) if len(x) > 2 else 0 for x, t in zip(self.words, self.thresholds, strict=True)]
         self.base = len(self.vocabulary) + 1
         self.pairs = [self.codes(x)[0] if k else np.zeros(0, np.int64) for x, k in zip(self.words, self.least, strict=True)]
         self.all_pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *self.pairs]))
-        self.held = [np.unique(np.searchsorted(self.all_pairs, x)) for x in self.pairs]
-        self.seeds: dict[int, list[int]] = {}
 
     def codes(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the pairs of known words at most two apart, and the places of their first words."""
@@ -61,30 +64,64 @@ class Items:
             at.append(full)
         return np.concatenate(found), np.concatenate(at)
 
-    def places(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers of text (-1: not in any item), places of items' pairs, and which these are."""
-        get = self.vocabulary.get
-        numbers = np.array([get(w, -1) for w in WORD.findall(text.lower())], np.int64)
+    def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers of all texts (-1: not in any item), where each text's begin, places of items' pairs, and which these are."""
+        numbers, begins = [], []
+        for t in texts:
+            begins.append(len(numbers))
+            try:
+                known, words = self.latin, t.encode("latin-1").translate(_LATIN).split()
+            except UnicodeEncodeError:
+                known, words = self.vocabulary, WORD.findall(t.lower())
+            numbers += [known.get(w, -1) for w in words]
+            numbers += (-1, -1)  # no pair goes from one text to the next
+        numbers = np.array(numbers, np.int64)
         codes, places = self.codes(numbers)
         at = np.searchsorted(self.all_pairs, codes)
-        hit = at < len(self.all_pairs)
-        hit[hit] = self.all_pairs[at[hit]] == codes[hit]
-        return numbers, places[hit], at[hit]
+        at[at == len(self.all_pairs)] = 0
+        hit = self.all_pairs[at] == codes if len(self.all_pairs) else np.zeros(len(codes), bool)
+        return numbers, np.array([*begins, len(numbers)]), places[hit], at[hit]
 
     def choose_seeds(self, documents: dict[int, int]) -> None:
-        """documents: in how many each pair is. Of an item's places fewer than an alignment's least are left out."""
-        self.seeds = {}
+        """documents: in how many each pair is. Of an item's places all but RARE of an alignment's least are left out."""
+        seeds = []
+        self.rare = [min(RARE, k) for k in self.least]  # seeds that an alignment holds at least
         for i, pairs in enumerate(self.pairs):
             times = Counter(np.searchsorted(self.all_pairs, pairs).tolist())
-            spare = self.least[i] - 1
+            spare = self.least[i] - self.rare[i]
             for pair in sorted(times, key=lambda p: (-documents.get(p, 0), p)):
                 if spare >= times[pair]:
                     spare -= times[pair]
                 else:
                     spare = -1  # from here on all are rare enough
-                    self.seeds.setdefault(pair, []).append(i)
-        self.is_seed = np.zeros(len(self.all_pairs), bool)
-        self.is_seed[list(self.seeds)] = True
+                    seeds.append((pair, i))
+        pair, item = np.array(sorted(seeds), np.int64).reshape(-1, 2).T
+        self.owners, self.first = item, np.searchsorted(pair, np.arange(len(self.all_pairs) + 1))
+        #: Words of a copy at most, from its first to its last.
+        self.spans = np.array([int((3 - 2 * t) * len(x)) + 2 for x, t in zip(self.words, self.thresholds, strict=True)], np.int64)
+        self.rare = np.array(self.rare, np.int64)
+
+    def seeded(self, begins: np.ndarray, places: np.ndarray, which: np.ndarray) -> list[tuple[int, int, list[int]]]:
+        """(text, item, places) where as many seeds of the item lie within a copy's span as an alignment holds."""
+        many = self.first[which + 1] - self.first[which]
+        seed = np.repeat(np.arange(len(which)), many)
+        item = self.owners[np.arange(len(seed)) - np.repeat(np.cumsum(many) - many, many) + self.first[which][seed]]
+        at = places[seed]
+        text = np.searchsorted(begins, at, "right") - 1
+        order = np.lexsort((at, item, text))
+        text, item, at = text[order], item[order], at[order]
+        out: list[tuple[int, int, list[int]]] = []
+        for need in np.unique(self.rare[item]) if len(item) else ():
+            ahead = np.arange(len(item) - need + 1)
+            last = ahead + need - 1
+            good = (self.rare[item[ahead]] == need) & (text[last] == text[ahead]) & (item[last] == item[ahead]) & (at[last] - at[ahead] <= self.spans[item[ahead]])
+            k = ahead[good]
+            for t, i, a in zip(text[k].tolist(), item[k].tolist(), at[k].tolist(), strict=True):
+                if out and out[-1][:2] == (t, i):
+                    out[-1][2].append(a)
+                else:
+                    out.append((t, i, [a]))
+        return sorted(out)
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
@@ -110,18 +147,15 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     return best / (2.0 * len(item)), *where
 
 
-def leaks(items: Items, text: str):
-    """(item, score, first and last + 1 code point) of the items that text holds a copy of."""
-    numbers, places, which = items.places(text)
-    spans = None
-    for i in sorted({i for p in np.unique(which[items.is_seed[which]]).tolist() for i in items.seeds[p]}):
-        item, need, threshold, best = items.words[i], items.least[i], items.thresholds[i], (0.0, 0, 0)
-        at = np.sort(places[np.isin(which, items.held[i])])
-        span = int((3 - 2 * threshold) * len(item)) + 2  # of a copy's words at most
-        first = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] <= span) if len(at) >= need else []
+def leaks(items: Items, texts: list[str]):
+    """(number of the text, item, score, first and last + 1 code point) of the items that texts hold copies of."""
+    numbers, begins, places, which = items.places(texts)
+    spans: tuple[int, list] = (-1, [])
+    for t, i, starts in items.seeded(begins, places, which):
+        item, threshold, span, best = items.words[i], items.thresholds[i], int(items.spans[i]), (0.0, 0, 0)
         edges: list[list[int]] = []
-        for k in first:
-            a, b = max(0, int(at[k + need - 1]) - span), min(len(numbers), int(at[k]) + span + 1)
+        for s in starts:
+            a, b = max(int(begins[t]), s - span), min(int(begins[t + 1]) - 2, s + 2 * span + 1)
             if edges and a <= edges[-1][1] and b - edges[-1][0] <= 8 * span:
                 edges[-1][1] = b
             else:
@@ -135,8 +169,10 @@ def leaks(items: Items, text: str):
             if score > best[0]:
                 best = (score, a + x, a + y)
         if best[0] >= threshold:
-            spans = spans or [m.span() for m in WORD.finditer(text.lower())]
-            yield i, best[0], spans[best[1]][0], spans[best[2] - 1][1]
+            if spans[0] != t:
+                spans = (t, [m.span() for m in WORD.finditer(texts[t].lower())])
+            first, last = best[1] - int(begins[t]), best[2] - 1 - int(begins[t])
+            yield t, i, best[0], spans[1][first][0], spans[1][last][1]
 
 
 def _count(items: Items):
@@ -147,8 +183,9 @@ def _count(items: Items):
         total = np.zeros(len(items.all_pairs), np.int64)
         for batch in batches:
             for _, _, texts in text_slices(batch):
-                for t in texts:
-                    total[np.unique(items.places(t)[2])] += 1
+                _, begins, places, which = items.places(texts)
+                text = np.searchsorted(begins, places, "right") - 1
+                total += np.bincount(np.unique(text * len(total) + which) % max(1, len(total)), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
@@ -163,7 +200,8 @@ def _find(items: Items):
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for first, last, texts in text_slices(batch):
-                rows = [(d, items.ids[i], *rest) for d, t in zip(ids.slice(first, last - first).to_pylist(), texts, strict=True) for i, *rest in leaks(items, t)]
+                known = ids.slice(first, last - first).to_pylist()
+                rows = [(known[t], items.ids[i], *rest) for t, i, *rest in leaks(items, texts)]
                 if rows:
                     d, i, s, a, b = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc_id", "item_id", "score", "start", "end"])
@@ -177,8 +215,10 @@ def _keep(items: Items):
 
         forget_encoders()
         for batch in batches:
-            keep = [next(leaks(items, t), None) is None for _, _, texts in text_slices(batch) for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            keep = np.ones(batch.num_rows, bool)
+            for first, _, texts in text_slices(batch):
+                keep[[first + t for t, *_ in leaks(items, texts)]] = False
+            yield batch.filter(pa.array(keep))
 
     return run
 

@@ -16,7 +16,7 @@ def brute(texts, items, threshold=0.5, least=6):
     for i, item in items.items():
         names = {w: k for k, w in enumerate(dict.fromkeys(words(item)))}
         code = np.array([names[w] for w in words(item)])
-        if len(code) < 2:
+        if len(code) < 3:  # no seeds
             continue
         for doc, t in texts.items():
             window = np.array([names.get(w, -1) for w in words(t)])
