@@ -4,9 +4,10 @@ A character trigram model over all documents is the source; the channel replaces
 them or puts signs between them. For each odd token, of any length, the lattice of readings is decoded by Viterbi;
 that of a run of spaced letters holds word boundaries. The scorer is a
 boosted sum of abstaining rules on words and word stems of the restored text, fit on at most `max_train` labelled
-rows (those with the smallest hash of doc_id), each whole.
+rows (those with the smallest hash of doc_id), each whole; exact copies teach once.
 
-Cases: null and empty texts have no words and get the base score; rows without a label are only scored; of several
+Cases: null and empty texts have no words and get the base score; very long texts are scored whole; equal readings:
+the one met first, equal rules: the one with the smaller hash; rows without a label are only scored; of several
 labels of one doc_id the largest counts; repeated rows each get a row; without both kinds of labels every score is
 0 and nothing is rejected; an empty table gives an empty result; further columns are not carried by score_toxicity
 and kept by reject_toxic.
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import crc_of_id, modest_batches, table
+from .runtime import crc_of_id, materialise, modest_batches, release, table
 from .tokens import forget_encoders, text_slices
 
 #: Letters that a sign may stand for.
@@ -33,6 +34,8 @@ _SIGNS = re.escape("".join(c for c in LOOK_ALIKES if not c.isalnum()))
 _SPACED = re.compile(rf"(?<![^\W_])(?<![@$])(?:(?:[^\W_]|[{_SIGNS}])[ ._*-]{{1,2}}){{2,}}(?:[^\W_]|[@$])(?![^\W_])(?![@$])")
 #: Of words in spaced runs; a run is read as one word whatever its length.
 LONGEST, NEAR = 24, 8.0
+#: Rows of label 1 that a rule needs.
+SUPPORT = 8
 _RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
 _LONG_RUN = re.compile(r"([^\W\d_])\1\1")
 
@@ -199,13 +202,34 @@ def _train_rows(costs):
     return run
 
 
-def boost(rows: list[tuple[int, bytes]], rounds: int = 60, support: int = 8) -> tuple[float, dict[int, float]]:
+def _each_feature(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        held = [np.frombuffer(f, "<u4").astype(np.int64) for f in batch.column(1).to_pylist()]
+        toxic = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int32), list(map(len, held)))
+        yield pa.RecordBatch.from_arrays([pa.array(toxic), pa.array(np.concatenate([np.zeros(0, np.int64), *held]))], ["toxic", "feature"])
+
+
+def _only(able: np.ndarray):
+    """Rows with these features alone."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            held = (np.frombuffer(f, "<u4") for f in batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[np.isin(f, able)].tobytes() for f in held], pa.binary())], ["toxic", "features"])
+
+    return run
+
+
+def boost(rows: list[tuple[int, bytes]], rounds: int = 60, support: int = SUPPORT) -> tuple[float, dict[int, float]]:
     """Boosting (Schapire and Singer, 1999; logistic weights) of rules that vote for label 1 where a feature is present.
 
     Labels are noisy: a rule needs `support` rows of label 1, and odds of e**2 over those of all rows. A row's
     features are distinct unsigned 32-bit numbers, little-endian.
     """
-    rows = list(dict.fromkeys(rows))  # exact copies teach once
     y = np.array([1.0 if t else -1.0 for t, _ in rows])
     if len(set(y)) < 2:
         return -20.0, {}
@@ -297,9 +321,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> tuple[np.n
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(crc_of_id(), F.lit(5)) != 0))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
-    labelled = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # max_train ids at most
-    rows = labelled.mapInArrow(_train_rows(costs), "toxic int, features binary")
-    known = sorted((toxic, bytes(features)) for toxic, features in rows.collect())
+    labelled = docs.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))  # max_train ids at most
+    found = labelled.mapInArrow(_train_rows(costs), "toxic int, features binary").distinct()  # exact copies teach once
+    rows = materialise(found.orderBy(F.xxhash64("toxic", "features"), "features").limit(max_train), "training")
+    # Only features that may become rules reach the driver, not whole rows, which are as long as the texts.
+    positive = F.col("toxic") > 0
+    yes, no = rows.agg(F.count_if(positive), F.count_if(~positive)).first()
+    counts = rows.mapInArrow(_each_feature, "toxic int, feature long").groupBy("feature").agg(F.count_if(positive).alias("yes"), F.count_if(~positive).alias("no"))
+    able = []
+    if yes and no:
+        base = float(np.exp(2) * yes / no)
+        able = [r[0] for r in counts.where((F.col("yes") >= SUPPORT) & ((F.col("yes") + 0.5) / (F.col("no") + 0.5) >= base)).select("feature").collect()]
+    known = sorted((toxic, bytes(features)) for toxic, features in rows.mapInArrow(_only(np.array(sorted(able), np.int64)), "toxic int, features binary").collect())
+    release(rows)
     return (costs, *(boost(known) if known else (-20.0, {})))
 
 
