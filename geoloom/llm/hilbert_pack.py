@@ -1,12 +1,14 @@
 """Packing along a space-filling curve.
 
 Each document's text is hashed into a vector of byte 3-gram counts, projected with fixed random signs to three
-dimensions, and given the Hilbert index of its cell. Documents are range-partitioned and sorted by that index, so
-neighbours on the curve are packed together. Within a partition the token streams are laid end to end and cut at
-every 2048 ids; the tail of a partition is cut into powers of two, which need no padding.
-
-Cases: null and empty texts are the end id alone; repeated rows are packed each; ties on the curve are ordered by
-doc_id and a hash of the text, which also splits large groups of copies over partitions; an empty table gives no
+dimensions, and given the Hilbert index of its cell. The curve is cut into ranges of about `partition_bytes` of text
+by an exact histogram of bytes along it, and each range is sorted, so neighbours on the curve are packed together.
+Within a range the token streams are laid end to end and cut at every 2048 ids; the tail of a range is cut into
+powers of two, which need no padding.
+
+Cases: null and empty texts are the end id alone; very long texts are cut over many sequences; repeated rows are
+packed each; ties on the curve are ordered by doc_id and a hash of the text; a place on the curve that holds more
+than a range's bytes (a large group of copies) is dealt over several ranges by that hash; an empty table gives no
 pieces; further columns of docs are not carried.
 """
 
@@ -22,6 +24,8 @@ from .runtime import modest_batches, table
 from .tokens import encoder, text_slices
 
 DIMENSIONS, BITS, BUCKETS = 3, 10, 512
+#: Leading bits of the curve by which its bytes are counted: a bounded number of counts.
+HISTOGRAM_BITS = 16
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
@@ -160,7 +164,19 @@ def _pack(path, size, with_ids):
     return run
 
 
-def pack_documents(docs: DataFrame, sequence_length: int = 2048, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
+def cut_curve(sizes: dict[int, int], partition_bytes: int) -> tuple[int, list[tuple[int, int, int]]]:
+    """How many ranges, and (place, first range, ranges that it is dealt over) of each place along the curve."""
+    total = sum(sizes.values())
+    n = max(1, -(-total // partition_bytes))
+    out, seen = [], 0
+    for place in sorted(sizes):
+        first, last = seen * n // total, (seen + sizes[place] - 1) * n // total
+        out.append((place, first, last - first + 1 if sizes[place] * 4 > partition_bytes else 1))
+        seen += sizes[place]
+    return n, out
+
+
+def pack_documents(docs: DataFrame, sequence_length: int = 2048, tokenizer: str | None = None, with_ids: bool = True, partition_bytes: int = 12 << 20) -> DataFrame:
     """Pieces of sequences: PIECE columns and, with_ids, `ids`; each id of each document lies in exactly one piece.
 
     sequence_length must be a power of two. Sequence ids are unique; they follow the curve.
@@ -168,7 +184,14 @@ def pack_documents(docs: DataFrame, sequence_length: int = 2048, tokenizer: str
     if sequence_length & (sequence_length - 1):
         raise ValueError("sequence_length must be a power of two")
     keyed = docs.select("doc_id", "text").mapInArrow(_add_keys, "curve long, doc_id long, text string")
-    ordered = keyed.repartitionByRange("curve", "doc_id", F.xxhash64("text")).sortWithinPartitions("curve", "doc_id", F.xxhash64("text"))
+    place = F.shiftright("curve", DIMENSIONS * BITS - HISTOGRAM_BITS).cast("int").alias("place")
+    sizes = dict(map(tuple, keyed.groupBy(place).agg(F.sum(F.octet_length("text") + 16)).collect()))  # 2**HISTOGRAM_BITS rows at most
+    n, ranges = cut_curve(sizes, partition_bytes)
+    tie = F.xxhash64("doc_id", "text")
+    cuts = F.broadcast(docs.sparkSession.createDataFrame(ranges, "place int, first int, many int"))
+    dealt = keyed.withColumn("place", place).join(cuts, "place", "left")
+    dealt = dealt.select("curve", "doc_id", "text", F.coalesce(F.col("first") + F.pmod(tie, F.col("many")).cast("int"), F.lit(0)).alias("range"))
+    ordered = dealt.repartitionById(n, "range").sortWithinPartitions("curve", "doc_id", tie).select("curve", "doc_id", "text")
     return ordered.mapInArrow(_pack(tokenizer, sequence_length, with_ids), PIECE + (", ids array<int>" if with_ids else ""))
 
 
