@@ -94,11 +94,67 @@ def disjoint(a: dict, b: dict) -> Column:
 
 
 def read_window(box: dict, x0, dx, y0, dy, cols, rows) -> dict:
-    """Offsets and sizes of the pixels read for a box: the size is cut from the floored offset, so the last column or row may be missed."""
-    col = F.greatest(F.floor((box["xmin"] - x0) / dx), F.lit(0)).cast("int")
-    row = F.greatest(F.floor((box["ymax"] - y0) / dy), F.lit(0)).cast("int")
+    """Offsets and sizes of the pixels read for a box (xmin, xmax, ymin, ymax) that meets a raster; dy is negative.
+
+    The box is cut to the raster first. The size is rounded up from the cut box, not from its floored offset, so the
+    last column or row that the box touches may be missed; at least one pixel is read.
+    """
+    left, right = F.greatest(box["xmin"], F.lit(float(x0))), F.least(box["xmax"], F.lit(float(x0 + dx * cols)))
+    low, high = F.greatest(box["ymin"], F.lit(float(y0 + dy * rows))), F.least(box["ymax"], F.lit(float(y0)))
+    col = F.least(F.floor((left - x0) / dx).cast("int"), F.lit(cols - 1))
+    row = F.least(F.floor((high - y0) / dy).cast("int"), F.lit(rows - 1))
     return {
         "col_off": col, "row_off": row,
-        "win_cols": F.least(F.ceil((box["xmax"] - box["xmin"]) / dx).cast("int"), F.lit(cols) - col),
-        "win_rows": F.least(F.ceil((box["ymin"] - box["ymax"]) / dy).cast("int"), F.lit(rows) - row),
+        "win_cols": F.least(F.greatest(F.ceil((right - left) / dx).cast("int"), F.lit(1)), F.lit(cols) - col),
+        "win_rows": F.least(F.greatest(F.ceil((high - low) / abs(dy)).cast("int"), F.lit(1)), F.lit(rows) - row),
     }
+
+
+def slope_name(name: Column) -> Column:
+    return F.concat(name, F.lit("_slope"))
+
+
+def smoothed_name(name: Column) -> Column:
+    return F.concat(name, F.lit("_smoothed"))
+
+
+def change_name(tile: Column) -> Column:
+    return F.concat(tile, F.lit("_change"))
+
+
+def training_name(feature: Column, tile: Column) -> Column:
+    return F.concat_ws("_", feature, tile, F.lit("training"))
+
+
+def polygons_name(block: Column) -> Column:
+    return F.concat(block.cast("string"), F.lit("_polygons"))
+
+
+def cropped_name(base: Column, feature: Column, merged: Column) -> Column:
+    """Name of a crop of one raster, or of several that were merged on the way."""
+    return F.concat_ws("_", base, feature, F.lit("cropped"), F.when(merged, "merged"))
+
+
+def date_stamp(day: Column) -> Column:
+    """As jan05_2024."""
+    return F.lower(F.date_format(day, "MMMdd_yyyy"))
+
+
+def block_origin(brow: Column, bcol: Column, x0: float, dx: float, y0: float, dy: float) -> tuple[Column, Column]:
+    """World coordinates of a block's upper left corner."""
+    return x0 + bcol * dx, y0 + brow * dy
+
+
+def to_world(rings: Column, x0: float, dx: float, y0: float, dy: float) -> Column:
+    """Rings in pixel space as rings in world coordinates."""
+    return F.transform(rings, lambda r: F.transform(r, lambda p: F.struct((x0 + p["x"] * dx).alias("x"), (y0 + p["y"] * dy).alias("y"))))
+
+
+def reproject(rings: Column, srid: Column, target: int) -> Column:
+    """Rings in the target system, 4326 or 3857; rings that are there already stay, other systems are an error."""
+    if target not in (4326, 3857):
+        raise ValueError(f"cannot convert to EPSG:{target}")
+    to = (mercator_x, mercator_y) if target == 3857 else (lon_of_mercator, lat_of_mercator)
+    other = F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(to[0](p["x"]).alias("x"), to[1](p["y"]).alias("y"))))
+    known = F.when(srid == target, rings).when(srid == (4326 if target == 3857 else 3857), other)
+    return F.coalesce(known, F.raise_error(F.concat(F.lit("cannot convert EPSG:"), F.coalesce(srid.cast("string"), F.lit("null")))).cast("array<array<struct<x:double,y:double>>>"))

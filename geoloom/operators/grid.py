@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import disjoint
+
 
 def block_grid(spark: SparkSession, cols: int, rows: int, block: int, halo: int) -> DataFrame:
     """One row a block: its place and size, with halo, and the true block's place within the halo."""
@@ -18,6 +20,18 @@ def block_grid(spark: SparkSession, cols: int, rows: int, block: int, halo: int)
     })
 
 
+def place_of(block_id: int, cols: int, rows: int, block: int, halo: int) -> dict[str, int]:
+    """What block_grid says of one block."""
+    check_block(block_id, cols, rows, block)
+    across = -(-cols // block)
+    bcol, brow = block_id % across * block, block_id // across * block
+    width, height, hcol, hrow = min(block, cols - bcol), min(block, rows - brow), max(bcol - halo, 0), max(brow - halo, 0)
+    return {
+        "block_id": block_id, "bcol": bcol, "brow": brow, "width": width, "height": height, "hcol": hcol, "hrow": hrow, "hwidth": min(bcol + width + halo, cols) - hcol,
+        "hheight": min(brow + height + halo, rows) - hrow, "inner_col": bcol - hcol, "inner_row": brow - hrow,
+    }
+
+
 def check_block(block_id: int, cols: int, rows: int, block: int) -> None:
     n = -(-cols // block) * -(-rows // block)
     if not 0 <= block_id < n:
@@ -34,16 +48,19 @@ def replicate(pixels: DataFrame, cols: int, rows: int, block: int, halo: int) ->
 def cell_join(left: DataFrame, right: DataFrame, cell: float, how: str = "inner") -> DataFrame:
     """Rows whose envelopes (l_/r_ xmin, xmax, ymin, ymax) meet: an equi-join on grid cells, each pair once.
 
-    A pair is kept in the cell that holds the lower corner of its overlap, so no distinct is needed.
+    A pair is kept in the cell that holds the lower corner of its overlap, so no distinct is needed. left_semi: each
+    row of left once, as often as it stands there.
     """
     span = lambda s, a: F.explode(F.sequence(F.floor(F.col(f"{s}_{a}min") / cell), F.floor(F.col(f"{s}_{a}max") / cell)))
     cells = lambda d, s: d.withColumn("cx", span(s, "x")).withColumn("cy", span(s, "y"))
     corner = lambda a: F.floor(F.greatest(f"l_{a}min", f"r_{a}min") / cell)
-    meet = (F.col("l_xmax") >= F.col("r_xmin")) & (F.col("l_xmin") <= F.col("r_xmax")) & (F.col("l_ymax") >= F.col("r_ymin")) & (F.col("l_ymin") <= F.col("r_ymax"))
-    a, b = cells(left, "l"), cells(right, "r")
+    box = lambda s: {k: F.col(f"{s}_{k}") for k in ("xmin", "xmax", "ymin", "ymax")}
+    meet = ~disjoint(box("l"), box("r")) & (corner("x") == F.col("cx")) & (corner("y") == F.col("cy"))
     if how == "left_semi":
-        return a.alias("a").join(b.alias("b"), (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & meet & (corner("x") == F.col("a.cx")) & (corner("y") == F.col("a.cy")), how).drop("cx", "cy").distinct()
-    return a.join(b, ["cx", "cy"]).where(meet & (corner("x") == F.col("cx")) & (corner("y") == F.col("cy"))).drop("cx", "cy")
+        numbered = left.withColumn("l_row", F.monotonically_increasing_id())
+        found = cells(numbered, "l").join(cells(right.select(*[c for c in right.columns if c.startswith("r_")]), "r"), ["cx", "cy"]).where(meet)
+        return found.dropDuplicates(["l_row"]).select(*left.columns)
+    return cells(left, "l").join(cells(right, "r"), ["cx", "cy"]).where(meet).drop("cx", "cy")
 
 
 def scatter(pixels: DataFrame, cols: int, rows: int, block: int = 512, nodata: int = 255) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialise
 from .graph import connected_components
-from .grid import block_grid, replicate
+from .grid import block_grid, place_of, replicate
 
 
 def thin(mask: np.ndarray) -> np.ndarray:
@@ -78,25 +78,23 @@ def close_gaps(mask: np.ndarray, gap: float) -> np.ndarray:
 
 
 def label(mask: np.ndarray) -> np.ndarray:
-    """4-connected components, numbered from 1 in row-major order of their first cells."""
-    rows, cols = mask.shape
-    parent = np.arange(rows * cols)
-    flat = mask.astype(bool).ravel()
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i in np.flatnonzero(flat):
-        for j in ([i - 1] if i % cols else []) + ([i - cols] if i >= cols else []):
-            if flat[j]:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-    roots = np.array([root(i) if f else -1 for i, f in enumerate(flat)])
-    names = {r: k + 1 for k, r in enumerate(sorted(set(roots[roots >= 0])))}
-    return np.array([names.get(r, 0) for r in roots]).reshape(rows, cols)
+    """4-connected components, numbered from 1 in row-major order of their first cells: runs of cells, joined downwards."""
+    m = mask.astype(bool)
+    begins = m & ~np.pad(m, ((0, 0), (1, 0)))[:, :-1]
+    run = np.cumsum(begins).reshape(m.shape) - 1
+    touch = m[:-1] & m[1:]
+    edges = np.unique(np.stack([run[:-1][touch], run[1:][touch]]), axis=1)
+    least = np.arange(int(begins.sum()))
+    while True:
+        a, b = least[edges[0]], least[edges[1]]
+        apart = a != b
+        if not apart.any():
+            break
+        np.minimum.at(least, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (least[least] != least).any():
+            least = least[least]
+    name = np.cumsum(least == np.arange(len(least)))  # a component's least run is its first in row-major order
+    return np.where(m, name[least][run] if len(least) else 0, 0)
 
 
 def interior(lines: np.ndarray, min_area: int) -> np.ndarray:
@@ -144,10 +142,9 @@ def _grid_of(rows, height: int, width: int, top: int = 0, left: int = 0) -> np.n
 
 def per_block(lines: DataFrame, cols: int, rows: int, block: int, halo: int, kernel, schema: str) -> DataFrame:
     """kernel(mask, place) -> pandas rows for each block with halo; lines: set pixels (prow, pcol)."""
-    places = {r["block_id"]: r.asDict() for r in block_grid(lines.sparkSession, cols, rows, block, halo).collect()}  # the grid's geometry
 
     def run(key, pixels):
-        at = places[int(key[0])]
+        at = place_of(int(key[0]), cols, rows, block, halo)
         return kernel(_grid_of(pixels, at["hheight"], at["hwidth"], at["hrow"], at["hcol"]), at)
 
     return replicate(lines.select("prow", "pcol"), cols, rows, block, halo).groupBy("block_id").applyInPandas(run, schema)
@@ -175,7 +172,6 @@ def closed(lines: DataFrame, cols: int, rows: int, block: int, halo: int, gap: f
 def _labelled(set_cells: DataFrame, cols: int, rows: int, block: int, invert: bool) -> DataFrame:
     """block_id, prow, pcol, local: 4-connected components (smallest prow * cols + pcol) within each block, of set cells or of those not set."""
     spark = set_cells.sparkSession
-    places = {r["block_id"]: r.asDict() for r in block_grid(spark, cols, rows, block, 0).collect()}  # the grid's geometry
     inside = set_cells.select("prow", "pcol").where(F.col("prow").between(0, rows - 1) & F.col("pcol").between(0, cols - 1))
     at_block = replicate(inside, cols, rows, block, 0)
     if invert:  # blocks without set cells count as well
@@ -184,7 +180,7 @@ def _labelled(set_cells: DataFrame, cols: int, rows: int, block: int, invert: bo
     def run(key, pixels):
         import pandas as pd
 
-        at = places[int(key[0])]
+        at = place_of(int(key[0]), cols, rows, block, 0)
         pixels = pixels[pixels["prow"].notna()].astype("int64")
         mask = _grid_of(pixels, at["height"], at["width"], at["brow"], at["bcol"])
         found = label(~mask if invert else mask)
@@ -225,11 +221,17 @@ def extract_polygons(lines: DataFrame, cols: int, rows: int, block: int = 2048,
         import pandas as pd
 
         inside = interior(close_gaps(mask, gap), min_area)[at["inner_row"] : at["inner_row"] + at["height"], at["inner_col"] : at["inner_col"] + at["width"]]
-        found = label(inside)
-        out = []
-        for k in range(1, int(found.max(initial=0)) + 1):
-            rings = [[{"x": float(x + at["bcol"]), "y": float(y + at["brow"])} for x, y in ring] for ring in trace(found == k)]
-            out.append((at["block_id"], k, int((found == k).sum()), rings))
+        found, out = label(inside), []
+        y, x = np.nonzero(found)
+        order = np.argsort(found[y, x], kind="stable")
+        y, x = y[order], x[order]
+        sizes = np.bincount(found.ravel())[1:]
+        for k, (first, n) in enumerate(zip(np.cumsum(sizes) - sizes, sizes, strict=True), 1):  # each within its own box
+            r, c = y[first : first + n], x[first : first + n]
+            part = np.zeros((r.max() - r.min() + 1, c.max() - c.min() + 1), bool)
+            part[r - r.min(), c - c.min()] = True
+            left, top = int(c.min()) + at["bcol"], int(r.min()) + at["brow"]
+            out.append((at["block_id"], k, int(n), [[{"x": float(px + left), "y": float(py + top)} for px, py in ring] for ring in trace(part)]))
         return pd.DataFrame(out, columns=["block_id", "polygon", "area", "rings"])
 
     return per_block(lines, cols, rows, block, halo, kernel, "block_id int, polygon int, area int, rings array<array<struct<x double, y double>>>")

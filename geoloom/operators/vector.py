@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grid import place_of, replicate
+
 
 def edges(features: DataFrame, key: str) -> DataFrame:
     """key, xa, ya, xb, yb of all rings; open rings are closed."""
@@ -24,11 +26,12 @@ def spans(features: DataFrame, key: str = "zone_id") -> DataFrame:
 
 
 def rasterize(features: DataFrame, key: str = "zone_id", cols: int | None = None, rows: int | None = None) -> DataFrame:
-    """key, prow, pcol of covered pixels, within cols and rows if given."""
+    """key, prow, pcol of covered pixels, within cols and rows if given; a key is one feature."""
     s = spans(features, key)
     if cols is not None:
         s = s.where(F.col("prow").between(0, rows - 1)).withColumns({"first": F.greatest("first", F.lit(0)), "last": F.least("last", F.lit(cols - 1))}).where("first <= last")
-    return s.select(key, "prow", F.explode(F.sequence("first", "last")).alias("pcol")).distinct()
+    # Spans of one key and row never overlap, so no pixel comes twice.
+    return s.select(key, "prow", F.explode(F.sequence("first", "last")).alias("pcol"))
 
 
 def _cross(ax, ay, bx, by, cx, cy):
@@ -78,3 +81,22 @@ def footprint_boxes(pixels: DataFrame, key: str, x0: float, dx: float, y0: float
     valid = pixels.where(F.col("value") != nodata)
     box = valid.groupBy(key).agg(F.min("pcol").alias("a"), F.max("pcol").alias("b"), F.min("prow").alias("c"), F.max("prow").alias("d"))
     return box.select(key, (x0 + F.col("a") * dx).alias("xmin"), (x0 + (F.col("b") + 1) * dx).alias("xmax"), (y0 + (F.col("d") + 1) * dy).alias("ymin"), (y0 + F.col("c") * dy).alias("ymax"))
+
+
+def valid_rings(pixels: DataFrame, key: str, cols: int, rows: int, block: int = 1024, nodata: float = 255) -> DataFrame:
+    """key, block_id and rings (pixel space) around the pixels with data, holes among them, cut at block edges."""
+    from .morphology import trace
+
+    def run(found, cells):
+        import numpy as np
+        import pandas as pd
+
+        at = place_of(int(found[1]), cols, rows, block, 0)
+        mask = np.zeros((at["height"], at["width"]), bool)
+        mask[cells["prow"] - at["brow"], cells["pcol"] - at["bcol"]] = True
+        rings = [[{"x": float(x + at["bcol"]), "y": float(y + at["brow"])} for x, y in ring] for ring in trace(mask)]
+        return pd.DataFrame({key: [found[0]], "block_id": [int(found[1])], "rings": [rings]})
+
+    kind = pixels.schema[key].dataType.simpleString()
+    placed = replicate(pixels.where(F.col("value") != nodata).select(key, "prow", "pcol"), cols, rows, block, 0)
+    return placed.groupBy(key, "block_id").applyInPandas(run, f"{key} {kind}, block_id int, rings array<array<struct<x:double,y:double>>>")

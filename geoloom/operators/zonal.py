@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import change_class, manmade
+from ..functions.expressions import change_class, manmade, number_or_null, read_window
 from .vector import rasterize
 
 
-def zone_pixels(features: DataFrame, pixels: DataFrame, cols: int | None = None, rows: int | None = None) -> DataFrame:
-    """zone_id, ord, prow, pcol, value: an equi-join of rasterised zones and pixels."""
+def zone_pixels(features: DataFrame, pixels: DataFrame, cols: int | None = None, rows: int | None = None, truncate_window: bool = False) -> DataFrame:
+    """zone_id, ord, prow, pcol, value: an equi-join of rasterised zones and pixels.
+
+    truncate_window: only pixels of the window that is read for a zone's envelope, which may miss its last column or row.
+    """
     covered = rasterize(features, "zone_id", cols, rows)
-    return covered.join(pixels, ["prow", "pcol"]).join(features.select("zone_id", "ord", "year_start", "year_end"), "zone_id")
+    found = covered.join(pixels, ["prow", "pcol"])
+    about = ["zone_id", "ord", "year_start", "year_end"]
+    if not truncate_window:
+        return found.join(features.select(*about), "zone_id")
+    # Pixel space has rows downwards: the raster's y is minus the row.
+    box = {"xmin": F.col("xmin"), "xmax": F.col("xmax"), "ymin": -F.col("ymax"), "ymax": -F.col("ymin")}
+    window = {k: v.alias(k) for k, v in read_window(box, 0, 1, 0, -1, cols, rows).items()}
+    near = found.join(features.select(*about, *window.values()), "zone_id")
+    inside = (F.col("pcol") < F.col("col_off") + F.col("win_cols")) & (F.col("prow") < F.col("row_off") + F.col("win_rows"))
+    return near.where(inside).drop(*window)
 
 
 def mode_nonzero(zoned: DataFrame) -> DataFrame:
@@ -43,10 +55,10 @@ def overlay(extracted: DataFrame) -> DataFrame:
 
 
 def extract_v1(zoned: DataFrame, change: str) -> DataFrame:
-    """All pixels of each zone; values that don't match are 0. change: natural or manmade."""
+    """All pixels of each zone; values that don't match are 0. change: natural or manmade. NaN years are null."""
     if change not in ("natural", "manmade"):
         raise ValueError(f"change is natural or manmade, not {change}")
-    v, a, b = F.col("value"), F.col("year_start"), F.col("year_end")
+    v, a, b = F.col("value"), number_or_null(F.col("year_start")), number_or_null(F.col("year_end"))
     checked = zoned.where(F.assert_true(a.isNull() == b.isNull(), "one of year_start and year_end is null").isNull())
     if change == "natural":
         joined = checked.join(mode_nonzero(zoned), "zone_id", "left")
@@ -57,9 +69,15 @@ def extract_v1(zoned: DataFrame, change: str) -> DataFrame:
     return joined.select("zone_id", "ord", "prow", "pcol", out.cast("int").alias("value"))
 
 
-def status(features: DataFrame, extracted: DataFrame) -> DataFrame:
-    """One row: status, polygons, contributing polygons and pixels."""
-    counts = extracted.agg(F.count_distinct("zone_id").alias("contributing"), F.count_distinct("prow", "pcol").alias("pixel_count"))
-    zones = features.agg(F.count(F.lit(1)).alias("polygon_count"))
+def status(features: DataFrame, extracted: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """A row for each input (keys; one row without): status, polygons, contributing polygons and pixels."""
+    marked = features.select(*keys, F.lit(1).alias("polygon"), F.lit(None).cast("long").alias("zone_id"), F.lit(None).cast("int").alias("prow"), F.lit(None).cast("int").alias("pcol"))
+    both = marked.unionByName(extracted.select(*keys, F.lit(None).cast("int").alias("polygon"), F.col("zone_id").cast("long").alias("zone_id"), "prow", "pcol"))
+    counts = both.groupBy(*keys).agg(F.count("polygon").alias("polygon_count"), F.count_distinct("zone_id").alias("contributing"), F.count_distinct("prow", "pcol").alias("pixel_count"))
     name = F.when(F.col("polygon_count") == 0, "skipped").when(F.col("pixel_count") == 0, "no_change").otherwise("success")
-    return zones.join(counts, F.lit(True)).select(name.alias("status"), "polygon_count", "contributing", "pixel_count")
+    return counts.select(*keys, name.alias("status"), "polygon_count", "contributing", "pixel_count")
+
+
+def successes(statuses: DataFrame) -> DataFrame:
+    """One row: inputs, and those that succeeded."""
+    return statuses.agg(F.count(F.lit(1)).alias("inputs"), F.count_if(F.col("status") == "success").alias("succeeded"))

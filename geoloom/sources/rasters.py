@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import lat_band, lon_band
+from ..functions.expressions import disjoint, lat_band, lon_band
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,17 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
     blocks.write.mode("overwrite").partitionBy("block_row", "block_col").parquet(path)
 
 
+def layer_extent(features: DataFrame) -> DataFrame:
+    """One row: the envelope of a whole layer of features with envelopes."""
+    return features.agg(F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax"))
+
+
+def read_box(features: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
+    """Features whose envelopes meet a box. Plain comparisons with columns: on a Parquet layer they reach the scan."""
+    box = {k: F.lit(v) for k, v in (("xmin", xmin), ("xmax", xmax), ("ymin", ymin), ("ymax", ymax))}
+    return features.where(~disjoint({k: F.col(k) for k in box}, box))
+
+
 def bounds(features: DataFrame) -> DataFrame:
     """Envelope columns of features with `rings`."""
     points = F.flatten("rings")
@@ -42,7 +53,12 @@ def box_rings(x0, y0, x1, y1):
     return F.array(F.array(at(x0, y0), at(x1, y0), at(x1, y1), at(x0, y1), at(x0, y0)))
 
 
-def change_raster(spark: SparkSession, sf_dir: str, size: int = 256) -> DataFrame:
+def side(spark: SparkSession, sf_dir: str) -> int:
+    """Rows and columns of the change raster: it grows with the customers, whose zones lie on it."""
+    return 256 * max(1, math.ceil(math.sqrt(read(spark, sf_dir, "customer").count() / 1500)))
+
+
+def change_raster(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     """prow, pcol, value: years of change, 0 where there is none; a full grid."""
     lines = read(spark, sf_dir, "lineitem")
     cells = lines.groupBy((F.col("l_orderkey") % size).cast("int").alias("prow"), (F.col("l_partkey") % size).cast("int").alias("pcol")).agg(
@@ -52,16 +68,28 @@ def change_raster(spark: SparkSession, sf_dir: str, size: int = 256) -> DataFram
     return grid.join(cells, ["prow", "pcol"], "left").select("prow", "pcol", F.coalesce("value", F.lit(0)).cast("int").alias("value"))
 
 
-def zones(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
-    """zone_id, ord, rings, year_start, year_end and envelope in pixel space, of all customers or of those below an id."""
+def _ring(x, y, w, h, *corners):
+    """A closed ring of corners in shares of a box of w and h at x and y."""
+    at = [F.struct((x + w * a).alias("x"), (y + h * b).alias("y")) for a, b in corners]
+    return F.array(*at, at[0])
+
+
+def zones(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """zone_id, ord, rings, year_start, year_end and envelope in pixel space, of all customers.
+
+    Slanted quadrangles, every third with a hole, every fourth with a second part; some go over the raster's edge.
+    """
     k = F.col("c_custkey")
-    x, y = (k * 37) % 230 + 0.3, (k * 91) % 230 + 0.7
+    x, y, w, h = (k * 37) % (size - 20) - 3.7, (k * 91) % (size - 14) - 2.3, (6 + k % 17).cast("double"), (5 + k % 13).cast("double")
+    one = F.lit(1.0)
+    outer = _ring(x, y, w, h, (0.0, 0.0), (1.0, 0.31), (0.83, 1.0), (0.27, 0.77))
+    hole = _ring(x, y, w, h, (0.41, 0.37), (0.63, 0.43), (0.47, 0.61))
+    part = _ring(x + w, y, one, one, (1.13, 0.2), (3.37, 1.43), (1.61, 2.9))
+    none = F.slice(F.array(outer), 1, 0)
+    rings = F.concat(F.array(outer), F.when(k % 3 == 0, F.array(hole)).otherwise(none), F.when(k % 4 == 1, F.array(part)).otherwise(none))
     kind = k % 5
     year = lambda a, b, c, d: F.when(kind == 1, a).when(kind == 2, b).when(kind == 3, c).when(kind == 4, d).cast("double")
-    customers = read(spark, sf_dir, "customer")
-    rows = (customers if below is None else customers.where(k < below)).select(
-        k.alias("zone_id"), k.alias("ord"), box_rings(x, y, x + 6 + k % 17, y + 5 + k % 13).alias("rings"), year(5, 100, 106, 50).alias("year_start"), year(8, 100, 110, 150).alias("year_end")
-    )
+    rows = read(spark, sf_dir, "customer").select(k.alias("zone_id"), k.alias("ord"), rings.alias("rings"), year(5, 100, 106, 50).alias("year_start"), year(8, 100, 110, 150).alias("year_end"))
     return bounds(rows)
 
 
@@ -77,16 +105,16 @@ def linear_size(spark: SparkSession, sf_dir: str) -> int:
 
 
 def linear_raster(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    """prow, pcol, value: probabilities of linear features; missing cells are 0. A smaller size than linear_size cuts orders off."""
+    """prow, pcol, value: probabilities of linear features; missing cells are 0. size: linear_size, so that every order has a cell."""
     k = F.col("o_orderkey")
-    return read(spark, sf_dir, "orders").where(k < size * size).select((k % size).cast("int").alias("prow"), F.expr(f"cast((o_orderkey div {size}) % {size} as int)").alias("pcol"), F.floor(F.col("o_totalprice") / 5000).cast("int").alias("value"))
+    return read(spark, sf_dir, "orders").select((k % size).cast("int").alias("prow"), F.expr(f"cast((o_orderkey div {size}) % {size} as int)").alias("pcol"), F.floor(F.col("o_totalprice") / 5000).cast("int").alias("value"))
 
 
-def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """location, rings, envelope: a 5 x 5 grid of 51.2 pixels."""
-    k = F.col("n_nationkey")
-    x, y = (k % 5) * 51.2, F.floor(k / 5) * 51.2
-    return bounds(read(spark, sf_dir, "nation").select(F.col("n_name").alias("location"), box_rings(x, y, x + 51.2, y + 51.2).alias("rings")))
+def tiles(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """location, rings, envelope: a 5 x 5 grid over the change raster."""
+    k, cell = F.col("n_nationkey"), size / 5
+    x, y = (k % 5) * cell, F.floor(k / 5) * cell
+    return bounds(read(spark, sf_dir, "nation").select(F.col("n_name").alias("location"), box_rings(x, y, x + cell, y + cell).alias("rings")))
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
