@@ -150,6 +150,11 @@ def to_world(rings: Column, x0: float, dx: float, y0: float, dy: float) -> Colum
     return F.transform(rings, lambda r: F.transform(r, lambda p: F.struct((x0 + p["x"] * dx).alias("x"), (y0 + p["y"] * dy).alias("y"))))
 
 
+def to_pixels(rings: Column, x0: float, dx: float, y0: float, dy: float) -> Column:
+    """Rings in world coordinates as rings in pixel space, rows downwards."""
+    return F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(((p["x"] - x0) / dx).alias("x"), ((p["y"] - y0) / dy).alias("y"))))
+
+
 def reproject(rings: Column, srid: Column, target: int) -> Column:
     """Rings in the target system, 4326 or 3857; rings that are there already stay, other systems are an error."""
     if target not in (4326, 3857):

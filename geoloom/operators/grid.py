@@ -63,8 +63,11 @@ def cell_join(left: DataFrame, right: DataFrame, cell: float, how: str = "inner"
     return cells(left, "l").join(cells(right, "r"), ["cx", "cy"]).where(meet).drop("cx", "cy")
 
 
-def scatter(pixels: DataFrame, cols: int, rows: int, block: int = 512, nodata: int = 255) -> DataFrame:
-    """Dense byte blocks of those blocks that have pixels; other cells are nodata."""
+_WIDE = {"uint8": "int", "float32": "float"}
+
+
+def scatter(pixels: DataFrame, cols: int, rows: int, block: int = 512, nodata: float = 255, dtype: str = "uint8") -> DataFrame:
+    """Dense blocks of those blocks that have pixels; other cells are nodata. dtype: uint8, whose values wrap, or float32."""
 
     def fill(key, rows_):
         import numpy as np
@@ -72,16 +75,17 @@ def scatter(pixels: DataFrame, cols: int, rows: int, block: int = 512, nodata: i
 
         down, across = key
         height, width = min(block, rows - down * block), min(block, cols - across * block)
-        cells = np.full((height, width), nodata, np.uint8)
-        cells[rows_["prow"] - down * block, rows_["pcol"] - across * block] = rows_["value"].astype(int) % 256
+        cells = np.full((height, width), nodata, dtype)
+        values = rows_["value"].astype(int) % 256 if dtype == "uint8" else rows_["value"].astype(dtype)
+        cells[rows_["prow"] - down * block, rows_["pcol"] - across * block] = values
         return pd.DataFrame([(down, across, height, width, cells.tobytes())], columns=["block_row", "block_col", "height", "width", "cells"])
 
-    placed = pixels.withColumns({"block_row": F.expr(f"cast(prow div {block} as int)"), "block_col": F.expr(f"cast(pcol div {block} as int)")})
+    placed = pixels.select("prow", "pcol", "value", F.expr(f"cast(prow div {block} as int)").alias("block_row"), F.expr(f"cast(pcol div {block} as int)").alias("block_col"))
     return placed.groupBy("block_row", "block_col").applyInPandas(fill, "block_row int, block_col int, height int, width int, cells binary")
 
 
-def gather(blocks: DataFrame, block: int = 512, nodata: int = 255) -> DataFrame:
-    """Pixels of dense byte blocks."""
+def gather(blocks: DataFrame, block: int = 512, nodata: float = 255, dtype: str = "uint8") -> DataFrame:
+    """Pixels of dense blocks that aren't nodata."""
 
     def run(batches):
         import numpy as np
@@ -89,8 +93,8 @@ def gather(blocks: DataFrame, block: int = 512, nodata: int = 255) -> DataFrame:
 
         for batch in batches:
             for r in batch.itertuples():
-                cells = np.frombuffer(r.cells, np.uint8).reshape(r.height, r.width)
-                y, x = np.nonzero(cells != nodata)
-                yield pd.DataFrame({"prow": (y + r.block_row * block).astype(np.int32), "pcol": (x + r.block_col * block).astype(np.int32), "value": cells[y, x].astype(np.int32)})
+                cells = np.frombuffer(r.cells, dtype).reshape(r.height, r.width)
+                y, x = np.nonzero(cells != np.dtype(dtype).type(nodata))
+                yield pd.DataFrame({"prow": (y + r.block_row * block).astype(np.int32), "pcol": (x + r.block_col * block).astype(np.int32), "value": cells[y, x].astype(np.int32 if dtype == "uint8" else np.float32)})
 
-    return blocks.mapInPandas(run, "prow int, pcol int, value int")
+    return blocks.mapInPandas(run, f"prow int, pcol int, value {_WIDE[dtype]}")

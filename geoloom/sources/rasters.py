@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import disjoint, lat_band, lon_band
+from ..operators import grid
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +25,32 @@ def window(pixels: DataFrame, col: int, row: int, cols: int, rows: int) -> DataF
     return pixels.where(F.col("prow").between(row, row + rows - 1) & F.col("pcol").between(col, col + cols - 1))
 
 
-def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Sparse blocks: absent ones are nodata."""
-    blocks.write.mode("overwrite").partitionBy("block_row", "block_col").parquet(path)
+CATALOG = "raster string, cols int, rows int, x0 double, dx double, y0 double, dy double, srid int, nodata double, dtype string, block int"
+
+
+def write_raster(pixels: DataFrame, path: str, name: str, cols: int, rows: int, gt: tuple[float, float, float, float], srid: int = 4326, nodata: float = 255, dtype: str = "uint8", block: int = 512) -> None:
+    """A raster as a folder: dense blocks that have pixels (absent ones are nodata) in order, and a catalogue row."""
+    spark = pixels.sparkSession
+    blocks = grid.scatter(pixels, cols, rows, block, nodata, dtype)
+    blocks.repartitionByRange("block_row", "block_col").sortWithinPartitions("block_row", "block_col").write.mode("overwrite").parquet(f"{path}/blocks")
+    spark.createDataFrame([(name, cols, rows, *map(float, gt), srid, float(nodata), dtype, block)], CATALOG).coalesce(1).write.mode("overwrite").parquet(f"{path}/catalog")
+
+
+def open_raster(spark: SparkSession, path: str) -> dict:
+    """The catalogue row of a raster, with its extent."""
+    return with_extents(spark.read.schema(CATALOG).parquet(f"{path}/catalog")).first().asDict()
+
+
+def raster_pixels(spark: SparkSession, path: str, box: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """prow, pcol, value of a raster, or of a window (col, row, cols, rows) of it: only blocks that meet it are read."""
+    about = open_raster(spark, path)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    if box is not None:
+        col, row, cols, rows = box
+        n = about["block"]
+        blocks = blocks.where(F.col("block_row").between(row // n, (row + rows - 1) // n) & F.col("block_col").between(col // n, (col + cols - 1) // n))
+    pixels = grid.gather(blocks, about["block"], about["nodata"], about["dtype"])
+    return pixels if box is None else window(pixels, *box)
 
 
 def layer_extent(features: DataFrame) -> DataFrame:
