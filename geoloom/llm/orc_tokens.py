@@ -5,8 +5,8 @@ of their part numbers hold ascending doc_ids, stripes can be read in parallel an
 by minimum, maximum and Bloom filter. Each row keeps its part number and its start within the part; a table of
 one row for each part turns these into starts over all documents.
 
-Cases: null and empty texts are the end id alone; repeated doc_ids each keep a row, ordered by a hash of the text,
-which also splits one id's rows over parts; null doc_ids come first; an empty table gives an empty file set;
+Cases: null and empty texts are the end id alone; very long texts are one list each; repeated doc_ids each keep a
+row, in the order of a hash of the text (ties: as they come), which also splits one id's rows over parts; null doc_ids come first; an empty table gives an empty file set;
 further columns of docs are not carried.
 """
 
