@@ -26,10 +26,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialise(_star(both, lambda j: j.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        large = _star(both, lambda j: j.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()  # its shuffle serves both of its uses
         small = _star(large, lambda j: j.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v"))
         after = materialise(small.distinct(), "edges")
-        release(now, large)
+        release(now)
         now = after
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out._geoloom_path = now._geoloom_path  # for release()
+    return out
