@@ -286,13 +286,20 @@ def _stars(own: DataFrame, words: int, bands: Bands) -> DataFrame:
     keyed = materialise(own.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text")).mapInArrow(_keys(words, bands), "rep long, keys array<long>"), "keys")
     each = keyed.select("rep", F.explode("keys").alias("key"))
     # Aggregated before the join: a word that very many sets share is one row of each task, and its join can be split.
+    # The join is by shuffle at every size: how many words are shared grows with the documents.
     shared = materialise(each.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "hub"), "shared")
-    few = shared.count() <= 1_000_000
-    out = materialise(each.join(F.broadcast(shared) if few else shared, "key").where("rep <> hub").select("hub", F.col("rep").alias("x")).distinct(), "stars")
+    out = materialise(each.join(shared.hint("merge"), "key").where("rep <> hub").select("hub", F.col("rep").alias("x")).distinct(), "stars")
     release(keyed, shared)
     return out
 
 
+def _components(links: DataFrame) -> DataFrame:
+    found = connected_components(links)
+    out = materialise(found, "components")
+    release(found)
+    return out
+
+
 def _links(docs: DataFrame, words: int, num: int, den: int, tile: int = 2048) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (rid, row, n, a, b), classes (n, a, b, rep, low: smallest doc_id) and components (node, component) of reps."""
     bands = Bands(num, den)
@@ -315,7 +322,7 @@ def _links(docs: DataFrame, words: int, num: int, den: int, tile: int = 2048) ->
     )
     links, again = verified(first, rows, words, num, den), None
     for nearest in (True, False):
-        found = materialise(connected_components(links), "components")
+        found = _components(links)
         groups = stars if again is None else stars.join(F.broadcast(again) if again.count() <= 1_000_000 else again, "hub", "left_semi")
         members = groups.select("hub", "x").unionByName(groups.select("hub", F.col("hub").alias("x")).distinct())
         placed = materialise(members.join(found.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x")), "placed")
@@ -338,7 +345,9 @@ def _links(docs: DataFrame, words: int, num: int, den: int, tile: int = 2048) ->
         release(more)
         if again.isEmpty():
             break
-    components = found if found is not None else materialise(connected_components(links), "components")
+    if again is not None:
+        release(again)
+    components = found if found is not None else _components(links)
     release(copies, sized, stars, links)
     return rows, classes, components
 
