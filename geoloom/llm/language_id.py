@@ -86,6 +86,14 @@ class CrossParser:
             self.roots.append(at)
             at += len(steps)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        #: After a phrase's first letter, or at the root again where a language doesn't know it.
+        self.first = np.repeat(np.array(self.roots, np.int32)[:, None], self.size, 1)
+        for k, (t, root) in enumerate(zip(tables, self.roots, strict=True)):
+            known = np.flatnonzero(t[0] >= 0)
+            self.first[k, known] = t[0, known]
+            for key, to in rare:
+                if key // self.size == root:
+                    self.first[k, key % self.size] = to
         rare.sort()
         self.rare_keys, self.rare_to = np.array([k for k, _ in rare], np.int64), np.array([to for _, to in rare], np.int32)
 
@@ -100,12 +108,11 @@ class CrossParser:
         out[:, rare] = np.where(self.rare_keys[at] == keys, self.rare_to[at], -1)
         return out
 
-    def _advance(self, state: np.ndarray, c: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _advance(self, state: np.ndarray, c: np.ndarray, language) -> tuple[np.ndarray, np.ndarray]:
         """States after classes c, and where a new phrase begins."""
         s = self._step(state, c)
         if (miss := s < 0).any():
-            again = self._step(np.broadcast_to(root, s.shape), c)
-            s = np.where(miss, np.where(again < 0, root, again), s)
+            s = np.where(miss, self.first[language, c], s)
         return s, miss
 
     def phrases(self, texts: list[str]) -> np.ndarray:
@@ -133,11 +140,12 @@ class CrossParser:
         follows[place[more]] = place[more + 1]
         root = np.array(self.roots, np.int32)[:, None]
         state = np.repeat(root, len(order), 1)
+        every = np.arange(len(root))[:, None]
         begins = np.zeros((sizes[0], len(root), len(order)), bool)
         live = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
         for t in range(sizes[0]):
             m = live[t]
-            state[:, :m], begins[t, :, :m] = self._advance(state[:, :m], lanes[t, :m], root)
+            state[:, :m], begins[t, :, :m] = self._advance(state[:, :m], lanes[t, :m], every)
         firsts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         out[:, owner[firsts]] = 1 + begins[:, :, place[firsts]].sum(0)
         self._join(out, owner[firsts], place[firsts], follows, sizes, lanes, state, begins)
@@ -151,9 +159,8 @@ class CrossParser:
         at, now = follows[lane], state[k, lane]
         keep = at >= 0
         k, text, at, now, t = k[keep], text[keep], at[keep], now[keep], np.zeros(keep.sum(), np.int64)
-        root = np.array(self.roots, np.int32)
         while len(k):
-            now, miss = (x[0] for x in self._advance(now[None], lanes[t, at], root[k][None]))
+            now, miss = (x[0] for x in self._advance(now[None], lanes[t, at], k[None]))
             np.add.at(out, (k[miss], text[miss]), 1)
             met = miss & begins[t, k, at]
             for j in np.flatnonzero(met):
@@ -182,7 +189,7 @@ def _predict(samples: dict[str, str]):
         parser = _PARSERS[key]
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            for first, last, texts in text_slices(batch, rows=2048, chars=1_000_000):
+            for first, last, texts in text_slices(batch, rows=2048, chars=max(250_000, 16_000_000 // max(1, len(parser.languages)))):
                 phrases = parser.phrases(texts)
                 best, phrases = (phrases.argmin(0), np.sort(phrases, 0)) if parser.languages else (None, None)
                 names, scores = [], []
