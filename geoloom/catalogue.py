@@ -234,7 +234,7 @@ def raster_tiles(spark, d):
 def crop_tiles(spark, d):
     """Two rasters merged and cropped to all tiles but one that is done already."""
     size, tiles = rasters.side(spark, d), _tiles(spark, d)
-    out = mosaic.merged_crop(_two(spark, d, size), "ord", tiles, tiles.where("location = 'BRAZIL'"))
+    out = mosaic.merged_crop(_two(spark, d, size), "ord", tiles, tiles.where("location = 'NATION_7'"))
     return out.groupBy("location").agg(F.count(F.lit(1)).alias("cells"), F.sum("value").alias("total"))
 
 

@@ -130,7 +130,7 @@ ORACLES = {
     "tile_list": f"WITH {DIM}, {ZONES}, {TILES} SELECT DISTINCT location FROM (SELECT *, xb - xa AS dx, yb - ya AS dy FROM segments) s JOIN tiles t ON {SEGMENT_IN_TILE}",
     "tile_nonblank": f"WITH {TOP}, {TILES} SELECT location FROM top JOIN tiles t ON {IN_TILE} GROUP BY 1 HAVING bool_or(value NOT IN (0, 255))",
     "raster_tiles": f"WITH {TOP}, {TILES}, x AS (SELECT location, prow, pcol, value FROM top JOIN tiles t ON {IN_TILE}) SELECT * FROM x SEMI JOIN (SELECT location FROM x GROUP BY 1 HAVING bool_or(value NOT IN (0, 255))) USING (location)",
-    "crop_tiles": f"WITH {GFC}, {TILES} SELECT location, count(*) AS cells, sum(CASE WHEN prow < n // 3 AND value > 8 THEN value + 100 ELSE value END)::BIGINT AS total FROM gfc JOIN tiles t ON {IN_TILE} JOIN dim ON true WHERE location <> 'BRAZIL' GROUP BY 1",
+    "crop_tiles": f"WITH {GFC}, {TILES} SELECT location, count(*) AS cells, sum(CASE WHEN prow < n // 3 AND value > 8 THEN value + 100 ELSE value END)::BIGINT AS total FROM gfc JOIN tiles t ON {IN_TILE} JOIN dim ON true WHERE location <> 'NATION_7' GROUP BY 1",
     "training_tiles": f"""WITH {MODES}, {TILES}, v1 AS (SELECT zone_id, prow, pcol, {V1} AS value FROM zoned LEFT JOIN modes USING (zone_id))
         SELECT zone_id, location, count(*) AS cells, sum(value)::BIGINT AS total FROM v1 JOIN tiles t ON {IN_TILE} GROUP BY 1, 2 HAVING bool_or(value NOT IN (0, 255))""",
     "slope_deg": f"WITH {DEM}, {_slope('dem', 's')} SELECT prow, pcol, round(value, 6) AS slope FROM s",
