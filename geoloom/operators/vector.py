@@ -40,20 +40,22 @@ def _cross(ax, ay, bx, by, cx, cy):
 
 def intersecting(candidates: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Of candidate pairs those whose polygons meet: edges cross or touch, or a corner of one lies within the other."""
-    a = edges(left, left_key).toDF(left_key, "ax", "ay", "bx", "by")
-    b = edges(right, right_key).toDF(right_key, "cx", "cy", "dx", "dy")
-    both = candidates.select(left_key, right_key).join(a, left_key).join(b, right_key)
-    c = {n: F.col(n) for n in ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy")}
-    s1, s2 = _cross(c["ax"], c["ay"], c["bx"], c["by"], c["cx"], c["cy"]), _cross(c["ax"], c["ay"], c["bx"], c["by"], c["dx"], c["dy"])
-    s3, s4 = _cross(c["cx"], c["cy"], c["dx"], c["dy"], c["ax"], c["ay"]), _cross(c["cx"], c["cy"], c["dx"], c["dy"], c["bx"], c["by"])
-    near = (F.least("ax", "bx") <= F.greatest("cx", "dx")) & (F.least("cx", "dx") <= F.greatest("ax", "bx")) & (F.least("ay", "by") <= F.greatest("cy", "dy")) & (F.least("cy", "dy") <= F.greatest("ay", "by"))
-    crossing = near & (s1 * s2 <= 0) & (s3 * s4 <= 0)
+    collected = lambda d, k, n: edges(d, k).groupBy(k).agg(F.collect_list(F.struct("xa", "ya", "xb", "yb")).alias(n))
+    # Spark's guess of the left side's exploded rows is far too low: it must not be broadcast.
+    pairs = candidates.select(left_key, right_key).distinct()
+    both = pairs.join(collected(right, right_key, "b"), right_key).join(collected(left, left_key, "a").hint("merge"), left_key)
+    low, high = lambda e, c: F.least(e[f"{c}a"], e[f"{c}b"]), lambda e, c: F.greatest(e[f"{c}a"], e[f"{c}b"])
+
+    def meet(e, f):
+        near = (low(e, "x") <= high(f, "x")) & (low(f, "x") <= high(e, "x")) & (low(e, "y") <= high(f, "y")) & (low(f, "y") <= high(e, "y"))
+        of = lambda s, t, n: _cross(s["xa"], s["ya"], s["xb"], s["yb"], t[f"x{n}"], t[f"y{n}"])
+        return near & (of(e, f, "a") * of(e, f, "b") <= 0) & (of(f, e, "a") * of(f, e, "b") <= 0)
+
     # Even-odd parity of a ray from the other polygon's points, counted by edges.
-    ray = lambda px, py, ex, ey, fx, fy: ((ey > py) != (fy > py)) & (px < ex + (py - ey) * (fx - ex) / F.when(fy != ey, fy - ey))
-    per_b = both.groupBy(left_key, right_key, "cx", "cy").agg((F.count_if(ray(c["cx"], c["cy"], c["ax"], c["ay"], c["bx"], c["by"])) % 2 == 1).alias("inside")).groupBy(left_key, right_key).agg(F.bool_or("inside").alias("b_in_a"))
-    per_a = both.groupBy(left_key, right_key, "ax", "ay").agg((F.count_if(ray(c["ax"], c["ay"], c["cx"], c["cy"], c["dx"], c["dy"])) % 2 == 1).alias("inside")).groupBy(left_key, right_key).agg(F.bool_or("inside").alias("a_in_b"))
-    cut = both.groupBy(left_key, right_key).agg(F.bool_or(crossing).alias("cut"))
-    return cut.join(per_b, [left_key, right_key]).join(per_a, [left_key, right_key]).where("cut OR b_in_a OR a_in_b").select(left_key, right_key)
+    ray = lambda p, e: ((e["ya"] > p["ya"]) != (e["yb"] > p["ya"])) & (p["xa"] < e["xa"] + (p["ya"] - e["ya"]) * (e["xb"] - e["xa"]) / F.when(e["yb"] != e["ya"], e["yb"] - e["ya"]))
+    some_inside = lambda points, of: F.exists(points, lambda p: F.size(F.filter(of, lambda e: ray(p, e))) % 2 == 1)
+    cut = F.exists("a", lambda e: F.exists("b", lambda f: meet(e, f)))
+    return both.where(cut | some_inside("b", F.col("a")) | some_inside("a", F.col("b"))).select(left_key, right_key)
 
 
 def buffer_lines(lines: DataFrame, distance: float, key: str = "line_id") -> DataFrame:
