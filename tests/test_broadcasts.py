@@ -7,6 +7,7 @@ from geoloom import catalogue
 DATA = "/root/testdata/sf0.001"
 QUERIES = """
 zone_tiles
+tile_list
 """.split()
 
 
