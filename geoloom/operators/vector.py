@@ -8,30 +8,39 @@ from pyspark.sql import functions as F
 from .grid import place_of, replicate
 
 
-def edges(features: DataFrame, key: str) -> DataFrame:
-    """key, xa, ya, xb, yb of all rings; open rings are closed."""
-    rings = features.select(key, F.explode("rings").alias("r")).select(key, F.when(F.col("r")[0] == F.element_at("r", -1), F.col("r")).otherwise(F.concat("r", F.slice("r", 1, 1))).alias("r"))
-    pairs = rings.where(F.size("r") > 1).select(key, F.explode(F.arrays_zip(F.slice("r", F.lit(1), F.size("r") - 1).alias("a"), F.slice("r", F.lit(2), F.size("r") - 1).alias("b"))).alias("e"))
-    return pairs.select(key, F.col("e.a.x").alias("xa"), F.col("e.a.y").alias("ya"), F.col("e.b.x").alias("xb"), F.col("e.b.y").alias("yb"))
+def edges(features: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, columns to keep, xa, ya, xb, yb of all rings; open rings are closed."""
+    rings = features.select(key, *keep, F.explode("rings").alias("r")).select(key, *keep, F.when(F.col("r")[0] == F.element_at("r", -1), F.col("r")).otherwise(F.concat("r", F.slice("r", 1, 1))).alias("r"))
+    pairs = rings.where(F.size("r") > 1).select(key, *keep, F.explode(F.arrays_zip(F.slice("r", F.lit(1), F.size("r") - 1).alias("a"), F.slice("r", F.lit(2), F.size("r") - 1).alias("b"))).alias("e"))
+    return pairs.select(key, *keep, F.col("e.a.x").alias("xa"), F.col("e.a.y").alias("ya"), F.col("e.b.x").alias("xb"), F.col("e.b.y").alias("yb"))
 
 
-def spans(features: DataFrame, key: str = "zone_id") -> DataFrame:
-    """key, prow, first and last column whose centres lie inside, by even-odd crossings of pixel rows' centres."""
+def spans(features: DataFrame, key: str = "zone_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, columns to keep, prow, first and last column whose centres lie inside, by even-odd crossings of pixel rows' centres.
+
+    Features are dealt out by key, so that their many crossings are sorted where they arise.
+    """
+    dealt = features.select(key, *keep, "rings").repartition(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     low, high = F.ceil(F.least("ya", "yb") - 0.5).cast("int"), (F.ceil(F.greatest("ya", "yb") - 0.5) - 1).cast("int")
-    crossed = edges(features, key).withColumns({"low": low, "high": high}).where("low <= high").withColumn("prow", F.explode(F.sequence("low", "high")))
+    crossed = edges(dealt, key, keep).withColumns({"low": low, "high": high}).where("low <= high").withColumn("prow", F.explode(F.sequence("low", "high")))
     at = F.col("xa") + (F.col("prow") + 0.5 - F.col("ya")) * (F.col("xb") - F.col("xa")) / (F.col("yb") - F.col("ya"))
     sorted_ = Window.partitionBy(key, "prow").orderBy("cx")
-    paired = crossed.select(key, "prow", at.alias("cx")).select(key, "prow", "cx", F.lead("cx").over(sorted_).alias("to"), F.row_number().over(sorted_).alias("n")).where("n % 2 = 1 AND to IS NOT NULL")
-    return paired.select(key, "prow", F.floor(F.col("cx") + 0.5).cast("int").alias("first"), (F.floor(F.col("to") + 0.5) - 1).cast("int").alias("last")).where("first <= last")
+    paired = crossed.select(key, *keep, "prow", at.alias("cx")).select(key, *keep, "prow", "cx", F.lead("cx").over(sorted_).alias("to"), F.row_number().over(sorted_).alias("n")).where("n % 2 = 1 AND to IS NOT NULL")
+    return paired.select(key, *keep, "prow", F.floor(F.col("cx") + 0.5).cast("int").alias("first"), (F.floor(F.col("to") + 0.5) - 1).cast("int").alias("last")).where("first <= last")
+
+
+def clipped_spans(features: DataFrame, key: str, cols: int | None, rows: int | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """spans, within cols and rows if given."""
+    s = spans(features, key, keep)
+    if cols is None:
+        return s
+    return s.where(F.col("prow").between(0, rows - 1)).withColumns({"first": F.greatest("first", F.lit(0)), "last": F.least("last", F.lit(cols - 1))}).where("first <= last")
 
 
 def rasterize(features: DataFrame, key: str = "zone_id", cols: int | None = None, rows: int | None = None) -> DataFrame:
     """key, prow, pcol of covered pixels, within cols and rows if given; a key is one feature."""
-    s = spans(features, key)
-    if cols is not None:
-        s = s.where(F.col("prow").between(0, rows - 1)).withColumns({"first": F.greatest("first", F.lit(0)), "last": F.least("last", F.lit(cols - 1))}).where("first <= last")
     # Spans of one key and row never overlap, so no pixel comes twice.
-    return s.select(key, "prow", F.explode(F.sequence("first", "last")).alias("pcol"))
+    return clipped_spans(features, key, cols, rows).select(key, "prow", F.explode(F.sequence("first", "last")).alias("pcol"))
 
 
 def _cross(ax, ay, bx, by, cx, cy):

@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import change_class, manmade, number_or_null, read_window
-from .vector import rasterize
+from .vector import clipped_spans
+
+
+_SEGMENT = 16
 
 
 def zone_pixels(features: DataFrame, pixels: DataFrame, cols: int | None = None, rows: int | None = None, truncate_window: bool = False) -> DataFrame:
-    """zone_id, ord, prow, pcol, value: an equi-join of rasterised zones and pixels.
+    """zone_id, ord, prow, pcol, value, year_start, year_end: zones' spans of columns and the pixels within them.
 
+    Spans and pixels meet by row and segment of columns; a span is not spread into pixels first. Both grow, and Spark's
+    guess of exploded rows is far too low, so neither is broadcast.
     truncate_window: only pixels of the window that is read for a zone's envelope, which may miss its last column or row.
     """
-    covered = rasterize(features, "zone_id", cols, rows)
-    found = covered.join(pixels, ["prow", "pcol"])
-    about = ["zone_id", "ord", "year_start", "year_end"]
+    about = ["ord", "year_start", "year_end"]
     if not truncate_window:
-        return found.join(features.select(*about), "zone_id")
-    # Pixel space has rows downwards: the raster's y is minus the row.
-    box = {"xmin": F.col("xmin"), "xmax": F.col("xmax"), "ymin": -F.col("ymax"), "ymax": -F.col("ymin")}
-    window = {k: v.alias(k) for k, v in read_window(box, 0, 1, 0, -1, cols, rows).items()}
-    near = found.join(features.select(*about, *window.values()), "zone_id")
-    inside = (F.col("pcol") < F.col("col_off") + F.col("win_cols")) & (F.col("prow") < F.col("row_off") + F.col("win_rows"))
-    return near.where(inside).drop(*window)
+        s = clipped_spans(features, "zone_id", cols, rows, about)
+    else:
+        # Pixel space has rows downwards: the raster's y is minus the row.
+        box = {"xmin": F.col("xmin"), "xmax": F.col("xmax"), "ymin": -F.col("ymax"), "ymax": -F.col("ymin")}
+        read = read_window(box, 0, 1, 0, -1, cols, rows)
+        ends = {"end_col": read["col_off"] + read["win_cols"], "end_row": read["row_off"] + read["win_rows"]}
+        s = clipped_spans(features.withColumns(ends), "zone_id", cols, rows, (*about, *ends))
+        s = s.where("prow < end_row").withColumn("last", F.least("last", F.col("end_col").cast("int") - 1)).where("first <= last")
+    cut = s.select("zone_id", *about, "prow", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / _SEGMENT), F.floor(F.col("last") / _SEGMENT))).alias("segment"))
+    placed = pixels.select("prow", "pcol", "value", F.floor(F.col("pcol") / _SEGMENT).alias("segment"))
+    found = cut.join(placed.hint("merge"), ["prow", "segment"]).where(F.col("pcol").between(F.col("first"), F.col("last")))
+    return found.select("zone_id", "ord", "prow", "pcol", "value", "year_start", "year_end")
 
 
 def mode_nonzero(zoned: DataFrame) -> DataFrame:
@@ -33,20 +41,28 @@ def mode_nonzero(zoned: DataFrame) -> DataFrame:
     return counts.groupBy("zone_id").agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("mode"))
 
 
+def with_mode(zoned: DataFrame) -> DataFrame:
+    """All pixels with mode: mode_nonzero of their zone, null without any. Pixels are read once, and dealt out by zone."""
+    each, zone = Window.partitionBy("zone_id", "value"), Window.partitionBy("zone_id")
+    counted = zoned.repartition("zone_id").withColumn("n", F.count(F.lit(1)).over(each))
+    best = F.max(F.when(F.col("value") != 0, F.struct("n", (-F.col("value")).alias("less"), "value"))).over(zone)
+    return counted.withColumn("best", best).withColumn("mode", F.col("best.value")).drop("n", "best")
+
+
 def extract_v2(zoned: DataFrame) -> DataFrame:
-    """Kept pixels of each zone, manmade years shifted by 100; others are dropped."""
+    """Kept pixels of each zone, manmade years shifted by 100; others are dropped. Only zones without years need a mode."""
     v, a, b = F.col("value"), F.col("year_start"), F.col("year_end")
-    kind = change_class(a, b)
-    with_mode = zoned.join(mode_nonzero(zoned), "zone_id", "left").withColumn("kind", kind)
+    marked = zoned.withColumn("kind", change_class(a, b))
+    own = with_mode(marked.where("kind = 'null_both'")).where(F.col("mode").isNotNull() & ((v == F.col("mode")) | (v == 0)))
     keep = (
-        F.when(F.col("kind") == "null_both", F.col("mode").isNotNull() & ((v == F.col("mode")) | (v == 0)))
-        .when(F.col("kind") == "natural", v.between(a, b) | (v == 0))
+        F.when(F.col("kind") == "natural", v.between(a, b) | (v == 0))
         .when(F.col("kind") == "extract_all", v.between(1, 24) | (v == 0))
         .when(F.col("kind") == "manmade", v.between(a - 100, b - 100) | (v == 0))
         .otherwise(False)
     )
+    both = marked.where(F.col("kind").isin("natural", "extract_all", "manmade") & keep).unionByName(own.drop("mode"))
     out = F.when(F.col("kind").isin("extract_all", "manmade"), manmade(v)).otherwise(v).cast("int")
-    return with_mode.where(keep).select("zone_id", "ord", "prow", "pcol", out.alias("value"))
+    return both.select("zone_id", "ord", "prow", "pcol", out.alias("value"))
 
 
 def overlay(extracted: DataFrame) -> DataFrame:
@@ -60,13 +76,13 @@ def extract_v1(zoned: DataFrame, change: str) -> DataFrame:
         raise ValueError(f"change is natural or manmade, not {change}")
     v, a, b = F.col("value"), number_or_null(F.col("year_start")), number_or_null(F.col("year_end"))
     checked = zoned.where(F.assert_true(a.isNull() == b.isNull(), "one of year_start and year_end is null").isNull())
+    within = F.when(v.between(a, b), v).otherwise(0)
     if change == "natural":
-        joined = checked.join(mode_nonzero(zoned), "zone_id", "left")
-        out = F.when(a.isNull(), F.when(v == F.col("mode"), v).otherwise(0)).otherwise(F.when(v.between(a, b), v).otherwise(0))
+        own = with_mode(checked.where(a.isNull())).withColumn("value", F.when(v == F.col("mode"), v).otherwise(0)).drop("mode")
+        both = checked.where(a.isNotNull()).withColumn("value", within).unionByName(own)
     else:
-        joined = checked
-        out = F.when(a.isNull(), v).otherwise(F.when(v.between(a, b), v).otherwise(0))
-    return joined.select("zone_id", "ord", "prow", "pcol", out.cast("int").alias("value"))
+        both = checked.withColumn("value", F.when(a.isNull(), v).otherwise(within))
+    return both.select("zone_id", "ord", "prow", "pcol", v.cast("int").alias("value"))
 
 
 def status(features: DataFrame, extracted: DataFrame, keys: list[str] = ()) -> DataFrame:

@@ -30,7 +30,7 @@ def tiles_of(features: DataFrame, tiles: DataFrame, key: str, cell: float) -> Da
 def raster_tiles(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
     """Pixels by tile without blank tiles."""
     tiled = mosaic.split_by_tiles(pixels, tiles)
-    return tiled.join(mosaic.not_blank(tiled), "location", "left_semi")
+    return tiled.join(F.broadcast(mosaic.not_blank(tiled)), "location", "left_semi")
 
 
 def line_training(lines: DataFrame, tiles: DataFrame, distance: float) -> DataFrame:

@@ -8,6 +8,7 @@ DATA = "/root/testdata/sf0.001"
 QUERIES = """
 zone_tiles
 tile_list
+raster_tiles
 """.split()
 
 
