@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import BLANK, lat_band, lon_band, quadrant, tile_key
@@ -34,6 +34,12 @@ def not_blank(tiled: DataFrame, keys: list[str] = ("location",)) -> DataFrame:
     return tiled.groupBy(*keys).agg(F.bool_or(~F.col("value").isin(*BLANK)).alias("some")).where("some").select(*keys)
 
 
+def without_blank(tiled: DataFrame, keys: list[str]) -> DataFrame:
+    """Pixels of the tiles that not_blank names: pixels are read once and dealt out by keys, which may be many."""
+    some = F.bool_or(~F.col("value").isin(*BLANK)).over(Window.partitionBy(*keys))
+    return tiled.withColumn("some", some).where("some").drop("some")
+
+
 def crop(pixels: DataFrame, cutline: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """location, prow, pcol, value within each cutline polygon's envelope; locations that are done already are skipped."""
     wanted = cutline if done is None else cutline.join(done.select("location"), "location", "left_anti")

@@ -17,7 +17,7 @@ def change_tiles(features: DataFrame, pixels: DataFrame, cols: int, rows: int) -
 def change_training(features: DataFrame, pixels: DataFrame, tiles: DataFrame, change: str, cols: int, rows: int) -> DataFrame:
     """v1: zonal extraction, tiling, blank tiles dropped: zone_id, location, prow, pcol, value."""
     tiled = mosaic.split_by_tiles(zonal.extract_v1(zonal.zone_pixels(features, pixels, cols, rows), change), tiles, ["zone_id"])
-    return tiled.join(mosaic.not_blank(tiled, ["zone_id", "location"]), ["zone_id", "location"], "left_semi")
+    return mosaic.without_blank(tiled, ["zone_id", "location"])
 
 
 def tiles_of(features: DataFrame, tiles: DataFrame, key: str, cell: float) -> DataFrame:

@@ -9,6 +9,7 @@ QUERIES = """
 zone_tiles
 tile_list
 raster_tiles
+training_tiles
 """.split()
 
 
