@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import place_of, replicate
-
 
 def edges(features: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """key, columns to keep, xa, ya, xb, yb of all rings; open rings are closed."""
@@ -94,20 +92,92 @@ def footprint_boxes(pixels: DataFrame, key: str, x0: float, dx: float, y0: float
     return box.select(key, (x0 + F.col("a") * dx).alias("xmin"), (x0 + (F.col("b") + 1) * dx).alias("xmax"), (y0 + (F.col("d") + 1) * dy).alias("ymin"), (y0 + F.col("c") * dy).alias("ymax"))
 
 
+def _traced(key, block, group, prow, pcol, cols: int, rows: int):
+    """One batch of valid_rings: what morphology.trace finds, for whole groups at once. key and block: Arrow columns of a row a group."""
+    import numpy as np
+    import pyarrow as pa
+
+    wide, tall = cols + 2, rows + 2
+    cells = np.unique(group * (wide * tall) + prow * wide + pcol)
+    at = lambda k: np.minimum(np.searchsorted(cells, k), len(cells) - 1)
+    free = lambda step: cells[at(cells + step)] != cells + step
+    g, y, x = cells // (wide * tall), cells // wide % tall, cells % wide
+    # Edges keep their cell on the right: east, south, west, north.
+    sides = [(free(-wide), 0, 0, 1, 0), (free(1) | (x == cols - 1), 1, 0, 1, 1), (free(wide), 1, 1, 0, 1), (free(-1) | (x == 0), 0, 1, 0, 0)]
+    vertex = lambda f, dx, dy: g[f] * (wide * tall) + (x[f] + dx) * tall + y[f] + dy
+    start, end = (np.concatenate([vertex(s[0], *s[k : k + 2]) for s in sides]) for k in (1, 3))
+    heading = np.concatenate([np.full(int(s[0].sum()), d, np.int8) for d, s in enumerate(sides)])
+    order = np.argsort(start, kind="stable")
+    start, end, heading = start[order], end[order], heading[order]
+    # Where two edges leave a corner that cells touch at, the right turn keeps to the own cell.
+    after = np.searchsorted(start, end)
+    other = np.minimum(after + 1, len(start) - 1)
+    after = np.where((start[other] == end) & (other != after) & (heading[after] != (heading + 1) % 4), other, after)
+    before = np.empty_like(heading)
+    before[after] = heading
+    to, seen, way, first = after.tolist(), bytearray(len(start)), [], []
+    for e in range(len(to)):
+        if not seen[e]:
+            first.append(len(way))
+            while not seen[e]:
+                seen[e] = 1
+                way.append(e)
+                e = to[e]
+    way, first = np.array(way), np.array(first)
+    turns = (heading != before)[way]
+    corners, n = start[way[turns]], np.add.reduceat(turns.astype(np.int64), first)
+    ends = np.cumsum(n)
+    # Each ring's first corner comes again at its end.
+    closed = np.insert(corners, ends, corners[ends - n])
+    per_group = np.bincount(start[way[first]] // (wide * tall), minlength=len(key))
+    point = pa.StructArray.from_arrays([pa.array((closed // tall % wide).astype(float)), pa.array((closed % tall).astype(float))], ["x", "y"])
+    ring = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n + 1)]).astype(np.int32)), point)
+    rings = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_group)]).astype(np.int32)), ring)
+    return pa.RecordBatch.from_arrays([key, block, rings], ["key", "block_id", "rings"])
+
+
 def valid_rings(pixels: DataFrame, key: str, cols: int, rows: int, block: int = 1024, nodata: float = 255) -> DataFrame:
-    """key, block_id and rings (pixel space) around the pixels with data, holes among them, cut at block edges."""
-    from .morphology import trace
+    """key, block_id and rings (pixel space) around the pixels with data, holes among them, cut at block edges.
 
-    def run(found, cells):
-        import numpy as np
-        import pandas as pd
+    Pixels come sorted by key and block; whole groups of a batch are traced together, since most are small.
+    """
+    across = -(-cols // block)
 
-        at = place_of(int(found[1]), cols, rows, block, 0)
-        mask = np.zeros((at["height"], at["width"]), bool)
-        mask[cells["prow"] - at["brow"], cells["pcol"] - at["bcol"]] = True
-        rings = [[{"x": float(x + at["bcol"]), "y": float(y + at["brow"])} for x, y in ring] for ring in trace(mask)]
-        return pd.DataFrame({key: [found[0]], "block_id": [int(found[1])], "rings": [rings]})
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def differs(c):
+            a, b = c.slice(1), c.slice(0, len(c) - 1)
+            return pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+
+        def traced(table):
+            k, b, r, c = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in table.columns)
+            new = np.concatenate([[True], differs(k) | differs(b)])
+            at = pa.array(np.flatnonzero(new))
+            out = _traced(k.take(at), b.take(at), np.cumsum(new) - 1, r.to_numpy().astype(np.int64), c.to_numpy().astype(np.int64), cols, rows)
+            return pa.RecordBatch.from_arrays(out.columns, [key, "block_id", "rings"])
+
+        held = []  # batches whose last group may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            last = pa.Table.from_batches([x.slice(x.num_rows - 1) for x in held[-2:]] if len(held) > 1 else [batch.slice(0, 1), batch.slice(batch.num_rows - 1)])
+            k, b = (c.combine_chunks() for c in last.columns[:2])
+            if not (differs(k) | differs(b)).any():
+                continue
+            k, b = batch.column(0), batch.column(1)
+            breaks = np.flatnonzero(differs(k) | differs(b))
+            cut = int(breaks[-1]) + 1 if len(breaks) else 0
+            held[-1] = batch.slice(0, cut)
+            yield traced(pa.Table.from_batches(held))
+            held = [batch.slice(cut)]
+        if held:
+            yield traced(pa.Table.from_batches(held))
 
     kind = pixels.schema[key].dataType.simpleString()
-    placed = replicate(pixels.where(F.col("value") != nodata).select(key, "prow", "pcol"), cols, rows, block, 0)
-    return placed.groupBy(key, "block_id").applyInPandas(run, f"{key} {kind}, block_id int, rings array<array<struct<x:double,y:double>>>")
+    placed = pixels.where(F.col("value") != nodata).select(key, F.expr(f"cast((prow div {block}) * {across} + pcol div {block} as int)").alias("block_id"), F.col("prow").cast("int").alias("prow"), F.col("pcol").cast("int").alias("pcol"))
+    dealt = placed.repartition(key, "block_id").sortWithinPartitions(key, "block_id")
+    return dealt.mapInArrow(run, f"{key} {kind}, block_id int, rings array<array<struct<x:double,y:double>>>")

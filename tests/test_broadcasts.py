@@ -10,6 +10,7 @@ zone_tiles
 tile_list
 raster_tiles
 training_tiles
+footprint_rings
 """.split()
 
 
