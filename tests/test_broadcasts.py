@@ -11,6 +11,7 @@ tile_list
 raster_tiles
 training_tiles
 footprint_rings
+block_scatter
 """.split()
 
 
