@@ -12,6 +12,7 @@ raster_tiles
 training_tiles
 footprint_rings
 block_scatter
+extract_v1_manmade
 """.split()
 
 
