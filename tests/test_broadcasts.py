@@ -13,6 +13,7 @@ training_tiles
 footprint_rings
 block_scatter
 extract_v1_manmade
+extract_v2_pixels
 """.split()
 
 
