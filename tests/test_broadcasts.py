@@ -14,6 +14,7 @@ footprint_rings
 block_scatter
 extract_v1_manmade
 extract_v2_pixels
+tile_nonblank
 """.split()
 
 
