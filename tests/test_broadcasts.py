@@ -15,6 +15,7 @@ block_scatter
 extract_v1_manmade
 extract_v2_pixels
 tile_nonblank
+block_scatter_counts
 """.split()
 
 
