@@ -16,6 +16,7 @@ extract_v1_manmade
 extract_v2_pixels
 tile_nonblank
 block_scatter_counts
+extract_v2_status
 """.split()
 
 
