@@ -17,6 +17,7 @@ extract_v2_pixels
 tile_nonblank
 block_scatter_counts
 extract_v2_status
+extract_v1_natural
 """.split()
 
 
