@@ -18,6 +18,7 @@ tile_nonblank
 block_scatter_counts
 extract_v2_status
 extract_v1_natural
+overlay_last_wins
 """.split()
 
 
