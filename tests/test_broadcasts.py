@@ -19,6 +19,7 @@ block_scatter_counts
 extract_v2_status
 extract_v1_natural
 overlay_last_wins
+status_of_inputs
 """.split()
 
 
