@@ -20,6 +20,7 @@ extract_v2_status
 extract_v1_natural
 overlay_last_wins
 status_of_inputs
+footprint_mercator
 """.split()
 
 
