@@ -21,6 +21,7 @@ extract_v1_natural
 overlay_last_wins
 status_of_inputs
 footprint_mercator
+zonal_pixels
 """.split()
 
 
