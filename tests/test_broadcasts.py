@@ -22,6 +22,7 @@ overlay_last_wins
 status_of_inputs
 footprint_mercator
 zonal_pixels
+zonal_mode
 """.split()
 
 
