@@ -23,6 +23,7 @@ status_of_inputs
 footprint_mercator
 zonal_pixels
 zonal_mode
+zonal_window_pixels
 """.split()
 
 
