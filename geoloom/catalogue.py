@@ -13,7 +13,7 @@ def _zoned(spark, d, truncate_window=False):
     """Zones, and their pixels of the change raster."""
     size = rasters.side(spark, d)
     zones = rasters.zones(spark, d, size)
-    return zones, zonal.zone_pixels(zones, rasters.change_raster(spark, d, size), size, size, truncate_window), size
+    return zones, zonal.zone_pixels(zones, rasters.change_segments(spark, d, size), size, size, truncate_window), size
 
 
 def _zones(spark, d):

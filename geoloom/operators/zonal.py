@@ -9,7 +9,7 @@ from ..functions.expressions import change_class, manmade, number_or_null, read_
 from .vector import clipped_spans
 
 
-_SEGMENT = 16
+SEGMENT = 16
 
 
 def zone_pixels(features: DataFrame, pixels: DataFrame, cols: int | None = None, rows: int | None = None, truncate_window: bool = False) -> DataFrame:
@@ -17,6 +17,7 @@ def zone_pixels(features: DataFrame, pixels: DataFrame, cols: int | None = None,
 
     Spans and pixels meet by row and segment of columns; a span is not spread into pixels first. Both grow, and Spark's
     guess of exploded rows is far too low, so neither is broadcast.
+    pixels: prow, pcol and value, or whole segments: prow, segment and cells, an array of SEGMENT values.
     truncate_window: only pixels of the window that is read for a zone's envelope, which may miss its last column or row.
     """
     about = ["ord", "year_start", "year_end"]
@@ -29,10 +30,16 @@ def zone_pixels(features: DataFrame, pixels: DataFrame, cols: int | None = None,
         ends = {"end_col": read["col_off"] + read["win_cols"], "end_row": read["row_off"] + read["win_rows"]}
         s = clipped_spans(features.withColumns(ends), "zone_id", cols, rows, (*about, *ends))
         s = s.where("prow < end_row").withColumn("last", F.least("last", F.col("end_col").cast("int") - 1)).where("first <= last")
-    cut = s.select("zone_id", *about, "prow", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / _SEGMENT), F.floor(F.col("last") / _SEGMENT))).alias("segment"))
-    placed = pixels.select("prow", "pcol", "value", F.floor(F.col("pcol") / _SEGMENT).alias("segment"))
+    cut = s.select("zone_id", *about, "prow", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / SEGMENT), F.floor(F.col("last") / SEGMENT))).alias("segment"))
+    out = ["zone_id", "ord", "prow", "pcol", "value", "year_start", "year_end"]
+    if "cells" in pixels.columns:
+        base = (F.col("segment") * SEGMENT).cast("int")
+        low, high = F.greatest("first", base), F.least("last", base + SEGMENT - 1)
+        met = cut.join(pixels.select("prow", "segment", "cells").hint("merge"), ["prow", "segment"]).withColumn("low", low)
+        return met.select("zone_id", *about, "prow", "low", F.posexplode(F.slice("cells", low - base + 1, high - low + 1)).alias("k", "value")).withColumn("pcol", F.col("low") + F.col("k")).select(*out)
+    placed = pixels.select("prow", "pcol", "value", F.floor(F.col("pcol") / SEGMENT).alias("segment"))
     found = cut.join(placed.hint("merge"), ["prow", "segment"]).where(F.col("pcol").between(F.col("first"), F.col("last")))
-    return found.select("zone_id", "ord", "prow", "pcol", "value", "year_start", "year_end")
+    return found.select(*out)
 
 
 def mode_nonzero(zoned: DataFrame) -> DataFrame:
