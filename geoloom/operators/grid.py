@@ -69,19 +69,25 @@ _WIDE = {"uint8": "int", "float32": "float"}
 def scatter(pixels: DataFrame, cols: int, rows: int, block: int = 512, nodata: float = 255, dtype: str = "uint8") -> DataFrame:
     """Dense blocks of those blocks that have pixels; other cells are nodata. dtype: uint8, whose values wrap, or float32."""
 
+    n, wide = block * block, -(-cols // block)
+
     def fill(key, rows_):
         import numpy as np
         import pandas as pd
 
-        down, across = key
+        down, across = int(key[0]) // wide, int(key[0]) % wide
         height, width = min(block, rows - down * block), min(block, cols - across * block)
         cells = np.full((height, width), nodata, dtype)
         values = rows_["value"].astype(int) % 256 if dtype == "uint8" else rows_["value"].astype(dtype)
-        cells[rows_["prow"] - down * block, rows_["pcol"] - across * block] = values
+        at = rows_["cell"] % n
+        cells[at // block, at % block] = values
         return pd.DataFrame([(down, across, height, width, cells.tobytes())], columns=["block_row", "block_col", "height", "width", "cells"])
 
-    placed = pixels.select("prow", "pcol", "value", F.expr(f"cast(prow div {block} as int)").alias("block_row"), F.expr(f"cast(pcol div {block} as int)").alias("block_col"))
-    return placed.groupBy("block_row", "block_col").applyInPandas(fill, "block_row int, block_col int, height int, width int, cells binary")
+    # Only a cell's number and value are dealt out, numbered block by block; the key is derived from it.
+    inside = F.col("prow").between(0, rows - 1) & F.col("pcol").between(0, cols - 1)
+    cell = F.expr(f"((prow div {block}) * {wide} + pcol div {block}) * {n}L + (prow % {block}) * {block} + pcol % {block}")
+    placed = pixels.select(F.when(inside, cell).otherwise(F.raise_error(F.lit("a pixel is outside the raster")).cast("long")).alias("cell"), "value")
+    return placed.groupBy(F.expr(f"cell div {n}L").alias("block_id")).applyInPandas(fill, "block_row int, block_col int, height int, width int, cells binary")
 
 
 def gather(blocks: DataFrame, block: int = 512, nodata: float = 255, dtype: str = "uint8") -> DataFrame:
