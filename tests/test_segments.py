@@ -37,6 +37,6 @@ def shuffles(plan: str) -> int:
     return n
 
 
-@pytest.mark.parametrize("name", ["tile_nonblank", "extract_v2_pixels", "extract_v1_manmade", "zonal_mode"])
+@pytest.mark.parametrize("name", ["tile_nonblank", "extract_v2_pixels", "extract_v1_manmade", "zonal_mode", "status_of_inputs"])
 def test_lines_are_dealt_once(spark, name):
     assert shuffles(catalogue.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()) == 1
