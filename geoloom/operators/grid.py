@@ -49,7 +49,8 @@ def cell_join(left: DataFrame, right: DataFrame, cell: float, how: str = "inner"
     """Rows whose envelopes (l_/r_ xmin, xmax, ymin, ymax) meet: an equi-join on grid cells, each pair once.
 
     A pair is kept in the cell that holds the lower corner of its overlap, so no distinct is needed. left_semi: each
-    row of left once, as often as it stands there.
+    row of left once, as often as it stands there. Cells of a side grow with its extent, however few its rows are, so
+    neither side is broadcast.
     """
     span = lambda s, a: F.explode(F.sequence(F.floor(F.col(f"{s}_{a}min") / cell), F.floor(F.col(f"{s}_{a}max") / cell)))
     cells = lambda d, s: d.withColumn("cx", span(s, "x")).withColumn("cy", span(s, "y"))
@@ -58,9 +59,9 @@ def cell_join(left: DataFrame, right: DataFrame, cell: float, how: str = "inner"
     meet = ~disjoint(box("l"), box("r")) & (corner("x") == F.col("cx")) & (corner("y") == F.col("cy"))
     if how == "left_semi":
         numbered = left.withColumn("l_row", F.monotonically_increasing_id())
-        found = cells(numbered, "l").join(cells(right.select(*[c for c in right.columns if c.startswith("r_")]), "r"), ["cx", "cy"]).where(meet)
+        found = cells(numbered, "l").join(cells(right.select(*[c for c in right.columns if c.startswith("r_")]), "r").hint("merge"), ["cx", "cy"]).where(meet)
         return found.dropDuplicates(["l_row"]).select(*left.columns)
-    return cells(left, "l").join(cells(right, "r"), ["cx", "cy"]).where(meet).drop("cx", "cy")
+    return cells(left, "l").join(cells(right, "r").hint("merge"), ["cx", "cy"]).where(meet).drop("cx", "cy")
 
 
 _WIDE = {"uint8": "int", "float32": "float"}
